@@ -121,7 +121,7 @@ def _run_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     text, places, ids = _token_text(part)
     own = [k for k, i in enumerate(ids) if i // TOKENS == chunk]
     if not own:
-        return pd.DataFrame({"record": [], "copy": [], "chunk": [], "ends": [], "events": []})
+        return pd.DataFrame([], columns=["record", "copy", "chunk", "ends", "events"], dtype=object)
     lo = places[own[0]]
     hi = places[own[-1] + 1] if own[-1] + 1 < len(places) else len(text)
     ends, events = run_chunk(text, lo, hi)

@@ -98,6 +98,8 @@ def _terminator(text: str, m: re.Match) -> tuple | None:
     after = text[end] if end < len(text) else ""
     if not after or after in "»”」』)）":
         return None
+    if re.search(rf"(?:^|\n)[{BLANK}]*$", text[max(0, at - 40) : at]):
+        return None  # nothing stands before it that could end
     wide = any(c in "。！？｡" for c in run)
     if run.strip("…") == "" and (re.match(f"[{CJK}]", before) or re.match(f"[{CJK}]", after)):
         return None
