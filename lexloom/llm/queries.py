@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentences
+from . import abuse, groups, leaks, plain, sentences, terms
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,99 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     books = sentences.text_sentences(table(spark, folder, "book", "file_id", "content"), "file_id", "content")
     files = sentences.token_sentences(table(spark, folder, "src", "file_id", "word_id", "sentence_id", "paragraph_id", "word_tail", "word"))
     return books.unionByName(files)
+
+
+@_query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each token that differs from its plain form: (word_id, plain_word)."""
+    return plain.plain_words(table(spark, folder, "src", "word_id", "word"), "word_id", "word")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_item", "item_id", "text"), "item_id", "text")
+
+
+@_query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least ten consecutive words of a test item: (doc_id, item_id)."""
+    return _leaks(spark, folder).where("edits = 0").select("doc_id", "item_id")
+
+
+@_query
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with slightly changed windows: how many windows are shared and how close the closest is."""
+    return _leaks(spark, folder)
+
+
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    src = table(spark, folder, "src", "word_id", "file_id", "word")
+    files = src.select("file_id").distinct().count()
+    return terms.marked(terms.corpus_terms(src, table(spark, folder, "pymorphy", "word_id", "normal_form")), files)
+
+
+@_query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms that are too rare or too common: (field, term, mark)."""
+    return _terms(spark, folder).where("mark is not null").select("field", "term", "mark")
+
+
+@_query
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct word and normal form with its occurrences, the files that hold it and its mark."""
+    return _terms(spark, folder)
+
+
+SQL["p5_terms"] = """
+with w as (select distinct word_id, file_id, word from src),
+ n as (select distinct p.word_id, s.file_id, p.normal_form from (select distinct word_id, normal_form from pymorphy) p
+   left join (select distinct word_id, file_id from src) s on s.word_id = p.word_id),
+ t as (select 'word' as field, word as term, file_id from w where word is not null
+   union all select 'normal_form', normal_form, file_id from n where normal_form is not null),
+ c as (select field, term, count(*) as occurrences, count(distinct file_id) as records from t group by field, term)
+select field, term, occurrences, records,
+ case when occurrences <= 2 or records <= 1 then 'rare'
+  when records > 0.5 * (select count(distinct file_id) from src) then 'common' end as mark
+from c
+"""
+SQL["p5_found"] = f"select field, term, mark from ({SQL['p5_terms']}) where mark is not null"
+
+
+@_query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of files that belong together, by group: (sentence_id, group_id)."""
+    return groups.grouped_sentences(
+        table(spark, folder, "src", "file_id", "sentence_id"), table(spark, folder, "toc", "file_id", "tags"), table(spark, folder, "relation", "file_1", "file_2")
+    )
+
+
+@_query
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every sentence: (sentence_id, split)."""
+    return groups.sentence_splits(
+        table(spark, folder, "src", "file_id", "sentence_id"),
+        table(spark, folder, "toc", "file_id", "tags"),
+        table(spark, folder, "relation", "file_1", "file_2"),
+        table(spark, folder, "split_target", "split", "target_share"),
+    )
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scored(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "abuse_term", "term", "category"))
+
+
+@_query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexual sentence: (doc_id)."""
+    return _scores(spark, folder).where("score >= 1").select("doc_id")
+
+
+@_query
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's scores."""
+    return _scores(spark, folder)
+
+
+@_query
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of flagged documents by clean source."""
+    return abuse.rates(table(spark, folder, "documents", "doc_id", "source"), _scores(spark, folder), "doc_id", "source")
