@@ -30,27 +30,28 @@ LEXICON = {
     "will": "i will ll gonna найду узнаю попадись",
     "body": "руки ноги голову шею рёбра зубы пальцы лицо челюсть legs arms face skull neck bones nose teeth head jaw fingers hands knees",
     "die": "сдохни сдохните подохни умри",
-    "wish": "оторвать выбросить повесить утопить сжечь расстрелять закопать убить вздёрнуть jump hang drown burn",
+    "wish": "оторвать выбросить высечь выпороть избить пристрелить повесить утопить сжечь расстрелять закопать убить вздёрнуть jump hang drown burn",
     "would": "бы should would",
     "born": "рождаться родиться рождались born",
     "never": "лучше вовсе never",
     "drop": "drop", "dead": "dead",
     "even": "даже even", "cur": "собака собаки пёс dog dogs", "shun": "сбежит отвернётся убежит run turn flee",
     "brains": "мозгов ума brains", "hen": "курицы курица барана hen chicken sheep", "more": "меньше more",
-    "worm": "человечишка ничтожество убожество disgrace filth", "empty": "пустое", "place": "место",
+    "worm": "человечишка ничтожество убожество создание позор disgrace filth", "empty": "пустое", "place": "место",
     "all": "все всех all every народ people folk", "they": "таких их them these этих",
     "dirt": "грязные вонючие ленивые тупые поганые мерзкие filthy lazy stinking dirty stupid disgusting",
     "vermin": "паразит+ паразиты скот+ скоты скота крыс+ крысы твари свиньи животные отребье нелюди саранча vermin rats animals parasites pigs cockroaches scum cattle beasts savages leeches",
     "purge": "давить гнать вымести истреблять выгнать травить вешать сгинут жалеть driven exterminated wiped mercy pity belong deserve deported",
     "not": "не not", "human": "люди людей human humans", "worse": "хуже worse", "breed": "плодятся breed multiply", "steal": "воруют steal",
-    "act": "оргазм+ кончил кончила кончили трахались трахал трахала трахнул трахались совокуплялись совокупление минет сношались fucked fuck fucking climaxed orgasm orgasms cock pussy cum",
-    "act2": "секс+ занимались ласкал ласкала стонала стонал дрожала вошёл упёрся член+ возбуждённый любовники screwed sex moaned stroked thrust naked came panted lovers member trembled hard entered",
+    "act": "оргазм+ кончил кончила кончили трахались трахал трахала трахнул трахались совокуплялись совокупление минет сношались fucked fuck fucking climaxed orgasm orgasms cock pussy cum screwed erection эрекция",
+    "act2": "секс+ ласкал ласкала стонала стонал дрожала вошёл упёрся член+ возбуждённый любовники sex moaned stroked thrust naked came panted lovers member trembled hard entered",
+    "do": "had have having занимались занимался заниматься",
     "bare": "голую голой голая голые обнажённую обнажённая обнажённой догола раздел+ разделись одежду грудь груди задницу ягодицы бёдра naked bare stripped clothes breasts breast tits ass nipples thighs buttocks",
     "mention": "слово слова словаре словарь термин пометой выражение значение word words dictionary term marks phrase meaning lexicon",
 }
 ENDINGS = ("", "а", "у", "ом", "е", "ы", "и", "ов", "ам", "ами", "ах", "ой", "ем")
 #: Roles of short, frequent words: found as written only, never by a misspelling.
-EXACT = frozenset("you author will would never drop dead even more all they not human worse would place empty go mention born shun cur brains hen beast body wish steal".split())
+EXACT = frozenset("you author will would never drop dead even more all they not human worse would place empty go mention born shun cur brains hen beast body wish steal do".split())
 #: Letters that other signs stand for.
 LEET = {"0": "оo", "3": "зеэe", "@": "аa", "1": "il1", "4": "чa", "6": "бb", "$": "s", "5": "s", "7": "т", "9": "д"}
 AS_RUSSIAN = {"a": "а", "b": "вьб", "c": "с", "e": "е", "h": "н", "k": "к", "m": "м", "n": "пн", "o": "о", "p": "р", "r": "гя", "t": "т", "u": "и", "x": "х", "y": "у", "i": "и", "g": "д", "d": "д", "v": "в"}
@@ -59,7 +60,7 @@ LEXICON_LIMIT = 1_000_000
 
 _TOKEN = re.compile(r"[\w@$*]+")
 _SPACED = re.compile(r"(?<![\w.*@$])(?:[\w@$*][ .\-_]){2,}[\w@$*](?![\w*@$])")
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿́‪-‮]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u0301\u202a-\u202e]")
 _END = re.compile(r"[.!?…。！？।]+|\n[ \t]*\n|\n(?=[#>])")
 
 
@@ -112,7 +113,7 @@ class Lexicon:
         if not (odd or mixed or stretched) and len(token) < 5:
             return frozenset()
         found: set[str] = set()
-        for form in {token, squeezed}:
+        for form in {token, squeezed, re.sub(r"\*+", "*", token)}:
             for alphabet in ("r", "l") if mixed or odd else ("r",) if russian else ("l",):
                 sets = [_letters(c, alphabet) for c in form]
                 # A plainly written token may miss one letter of a long word; signs inside it are explained first.
@@ -127,26 +128,39 @@ class Lexicon:
         return frozenset(found)
 
     def _walk(self, sets: list[str], room: int) -> set[str]:
-        """The roles of the trie's words within `room` edits of the token: the automaton's rows go down the trie."""
+        """The roles of the trie's words within `room` edits of the token.
+
+        A state of the Levenshtein automaton is the positions in the token that can be reached with their least
+        number of edits; it goes down the trie letter by letter and stops where no position is left."""
         n, out = len(sets), set()
-        first = list(range(n + 1))
 
-        def down(node: dict, row: list[int], depth: int) -> None:
+        def skip(state: dict[int, int]) -> dict[int, int]:
+            for i in sorted(state):  # letters of the token too many
+                while state[i] < room and i < n and state.get(i + 1, room + 1) > state[i] + 1:
+                    state[i + 1] = state[i] + 1
+                    i += 1
+            return state
+
+        def down(node: dict, state: dict[int, int], depth: int) -> None:
             end = node.get("")
-            if end is not None and row[n] <= room and (row[n] == 0 or len(end[0]) >= 6):
+            if end is not None and n in state and (state[n] == 0 or len(end[0]) >= 6):
                 out.update(end[1])
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    hit = sets[i - 1] == "*" or c in sets[i - 1]
-                    new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (0 if hit else 1)))
+                new: dict[int, int] = {}
+                for i, e in state.items():
+                    if i < n:
+                        cost = e if c in sets[i] or sets[i] == "*" else e + 1
+                        if cost <= room and cost < new.get(i + 1, room + 1):
+                            new[i + 1] = cost
+                    if e < room and e + 1 < new.get(i, room + 1):
+                        new[i] = e + 1
                 # A word keeps its first letter.
-                if min(new) <= room and (depth or room == 0 or new[1] == 0):
-                    down(child, new, depth + 1)
+                if new and (depth or room == 0 or new.get(1) == 0):
+                    down(child, skip(new) if room else new, depth + 1)
 
-        down(self.trie, first, 0)
+        down(self.trie, skip({0: 0}) if room else {0: 0}, 0)
         return out
 
     def inside(self, letters: str) -> list[str]:
@@ -267,7 +281,7 @@ def sentence_scores(tokens: list[tuple[str, frozenset[str], bool]], window: int
         hate += 0.5
     if quoting:
         hate -= 1.0
-    acts = len({tokens[i][0] for i in at.get("act", ())})
+    acts = len({tokens[i][0] for i in at.get("act", ())}) + row("do", "act2", gap=1)
     hints = len({tokens[i][0] for r in ("act2", "bare") for i in at.get(r, ())})
     if acts and hints:
         sexual += 1.0

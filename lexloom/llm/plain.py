@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import glyphs
 
@@ -22,7 +23,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return F.broadcast(one), F.broadcast(look), F.broadcast(marks)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _recompose(words: pd.Series) -> pd.Series:
     return words.map(lambda w: unicodedata.normalize("NFC", w))
 

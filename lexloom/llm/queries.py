@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import abuse, groups, leaks, plain, sentences, terms
-from ..session import table
+from . import abuse, align, groups, leaks, mixing, plain, sentences, terms
+from ..session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,33 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     """The share of flagged documents by clean source."""
     return abuse.rates(table(spark, folder, "documents", "doc_id", "source"), _scores(spark, folder), "doc_id", "source")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = mixing.stored_sizes(table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+    targets = table(spark, folder, "mix_target", "source", "target_share", "max_repeats")
+    return mixing.mixture(cut(mixing.blocks(sizes)), targets), sizes, targets
+
+
+@_query
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """What each slot of the mixed output holds: (shard, slot, source, repetition, block, doc_id, from_token, to_token)."""
+    return _mixed(spark, folder)[0]
+
+
+@_query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source has, should have and reaches."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+@_query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of the Russian and the English edition of a chapter that translate each other."""
+    found = align.aligned(
+        table(spark, folder, "book", "book_id", "file_id", "lang", "content", "collection_url", "name"),
+        table(spark, folder, "relation", "file_1", "file_2", "relation_name"),
+        table(spark, folder, "chapter_info", "book_id", "name"),
+        table(spark, folder, "glossary", "ru_word", "en_word"),
+    )
+    return align.ordered(found)
