@@ -105,8 +105,8 @@ def _folding() -> dict[int, str]:
 
 @lru_cache(maxsize=1)
 def _small() -> dict[int, str]:
-    # After lower-casing, small letters of capitals that look alike (В/B, Н/H, К/K, М/M, Т/T, У/Y).
-    return str.maketrans("внкмт", "bhkmt")
+    # After lower-casing, small letters of capitals that look alike (В/B, Н/H, К/K, М/M, Т/T) or don't (У).
+    return str.maketrans("внкмту", "bhkmty")
 
 
 def skeleton(text: str) -> str:
