@@ -108,7 +108,7 @@ def fragments(sentences: DataFrame, key: str, limit: int = 500) -> DataFrame:
     before `limit` tokens are reached. sentences: key, sentence_id, tokens, is_dialog, start_id, end_id, text.
 
     A fold over each record's sentences; both types have their own ids and limits."""
-    lists = sentences.groupBy(key, F.when("is_dialog", "dialog").otherwise("narrative").alias("text_type")).agg(F.sort_array(F.collect_list(F.struct("sentence_id", "tokens", "start_id", "end_id", "text"))).alias("s"))
+    lists = sentences.groupBy(key, F.when(F.col("is_dialog"), "dialog").otherwise("narrative").alias("text_type")).agg(F.sort_array(F.collect_list(F.struct("sentence_id", "tokens", "start_id", "end_id", "text"))).alias("s"))
     fold = f"""
         aggregate(s, struct(cast(-1 as int) as no, cast(0 as bigint) as n, cast(array() as array<int>) as out),
           (a, x) -> if(a.no < 0 or a.n + x.tokens > {limit}, struct(a.no + 1 as no, cast(x.tokens as bigint) as n, array_append(a.out, a.no + 1) as out),

@@ -51,7 +51,7 @@ def top_categories(df: DataFrame, column: str, k: int, name: str | None = None,
     """The column with all but its k most frequent values (ties: the alphabet) replaced; nulls are other."""
     top = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), column).limit(k).select(column, F.lit(True).alias("_top"))
     # At most k rows.
-    return df.join(F.broadcast(top), column, "left").withColumn(name or column, F.when("_top", F.col(column)).otherwise(other)).drop("_top")
+    return df.join(F.broadcast(top), column, "left").withColumn(name or column, F.when(F.col("_top"), F.col(column)).otherwise(other)).drop("_top")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -149,4 +149,4 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def log_table(logs: DataFrame, job: str, ordinal: str, time: str, metrics: Sequence[str]) -> DataFrame:
     """(job, metric, last, seconds): the last value of each metric and the seconds from first to last entry."""
     long = logs.unpivot([job, ordinal, time], list(metrics), "metric", "value")
-    return long.groupBy(job, "metric").agg(F.max_by("value", ordinal).alias("last"), ((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6).alias("seconds"))
+    return long.groupBy(job, "metric").agg(F.max_by("value", ordinal).alias("last"), ((F.unix_micros(F.max(F.col(time).cast("timestamp"))) - F.unix_micros(F.min(F.col(time).cast("timestamp")))) / 1e6).alias("seconds"))

@@ -120,7 +120,7 @@ def rolling_mean(df: DataFrame, group: Cols, order: Cols, value: str, rows: int,
 
 def seconds_to_next(df: DataFrame, group: Cols, order: Cols, time: str, name: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.unix_micros(F.lead(time).over(w)) / 1e6 - F.unix_micros(time) / 1e6)
+    return df.withColumn(name, (F.unix_micros(F.lead(F.col(time).cast("timestamp")).over(w)) - F.unix_micros(F.col(time).cast("timestamp"))) / 1e6)
 
 
 def latest(df: DataFrame, group: Cols, order: str, *values: str) -> DataFrame:

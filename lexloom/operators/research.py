@@ -105,7 +105,7 @@ def cooccurrence(words: DataFrame, reach: int = 15, weighted: bool = False) -> D
     words: file_id, word_id, word. Each word looks at the `reach` words before it by lags: linear in the text."""
     w = Window.partitionBy("file_id").orderBy("word_id")
     before = F.array(*[F.struct(F.lit(d).alias("d"), F.lag("word", d).over(w).alias("o")) for d in range(1, reach + 1)])
-    each = words.select("word", F.explode(before).alias("x")).where("x.o is not null and word is not null")
+    each = words.withColumn("_b", before).select("word", F.explode("_b").alias("x")).where("x.o is not null and word is not null")
     a, b = F.least("word", "x.o"), F.greatest("word", "x.o")
     n = F.sum(1 / F.col("x.d")) if weighted else F.count(F.lit(1))
     return each.select(a.alias("a"), b.alias("b"), "x").groupBy("a", "b").agg(n.alias("n"))

@@ -5,6 +5,8 @@ A sentence is small, so what must walk a tree does so inside one sentence; sente
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,21 +46,24 @@ def one_root(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, limit: int = 20) -> DataFrame:
     """(file_id, sentence_id, word_id, ancestor_id, relation, distance): every ancestor within `limit` steps, with the
     relation of the last step. Cycles give what `limit` allows; a parent outside the sentence ends the walk."""
-    up = edges.where("syntax_parent_id != -1").select(*SENTENCE, "word_id", "syntax_parent_id", "relation")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = {w: (p, r) for w, p, r in zip(pdf.word_id, pdf.syntax_parent_id, pdf.relation)}
-        rows = []
-        for w in parent:
-            at, d = w, 0
-            while at in parent and d < limit:
-                at, rel = parent[at]
-                d += 1
-                rows.append((pdf.file_id.iloc[0], pdf.sentence_id.iloc[0], w, at, rel, d))
-        return pd.DataFrame(rows, columns=[*SENTENCE, "word_id", "ancestor_id", "relation", "distance"])
+    up = edges.where("syntax_parent_id != -1").groupBy(*SENTENCE).agg(F.collect_list(F.struct("word_id", "syntax_parent_id", "relation")).alias("words"))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file, sentence, words in zip(part.file_id, part.sentence_id, part.words):
+                parent = {w["word_id"]: (w["syntax_parent_id"], w["relation"]) for w in words}
+                for w in parent:
+                    at, d = w, 0
+                    while at in parent and d < limit:
+                        at, rel = parent[at]
+                        d += 1
+                        rows.append((file, sentence, w, at, rel, d))
+            yield pd.DataFrame(rows, columns=[*SENTENCE, "word_id", "ancestor_id", "relation", "distance"])
 
     kind = dict(edges.dtypes)
-    return up.groupBy(*SENTENCE).applyInPandas(walk, f"file_id {kind['file_id']}, sentence_id long, word_id long, ancestor_id long, relation string, distance int")
+    # One row per sentence, many sentences per batch.
+    return up.mapInPandas(walk, f"file_id {kind['file_id']}, sentence_id long, word_id long, ancestor_id long, relation string, distance int")
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
@@ -66,33 +71,39 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 
     Adds cycle_status: No, Yes (was in a cycle), Broken (was moved). Needs one_root's columns."""
 
-    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(pdf.word_id, pdf.syntax_parent_id))
-        weight = dict(zip(pdf.word_id, pdf.links_to))
-        root, status = pdf.correct_root.iloc[0], {}
-        while True:
-            found = None
-            for w in parent:
-                seen, at = [], w
-                while at in parent and at not in seen:
-                    seen.append(at)
-                    at = parent[at]
-                if at in seen:
-                    found = seen[seen.index(at) :]
-                    break
-            if not found:
-                break
+    def mended(words: list) -> list[tuple]:
+        parent = {w["word_id"]: w["syntax_parent_id"] for w in words}
+        weight = {w["word_id"]: w["links_to"] for w in words}
+        root, status = words[0]["correct_root"], {}
+        while found := _cycle(parent):
             for w in found:
                 status.setdefault(w, "Yes")
             move = max(found, key=lambda w: (weight.get(w, 0), -w))
             parent[move], status[move] = root, "Broken"
-        out = pdf.copy()
-        out["syntax_parent_id"] = [parent[w] for w in pdf.word_id]
-        out["cycle_status"] = [status.get(w, "No") for w in pdf.word_id]
-        return out
-
-    schema = edges.schema.add("cycle_status", "string")
-    return edges.groupBy(*SENTENCE).applyInPandas(mend, schema)
+        return [(w, parent[w], status.get(w, "No")) for w in parent]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(f, s, *r) for f, s, words in zip(part.file_id, part.sentence_id, part.words) for r in mended(words)]
+            yield pd.DataFrame(rows, columns=[*SENTENCE, "word_id", "syntax_parent_id", "cycle_status"])
+
+    lists = edges.groupBy(*SENTENCE).agg(F.collect_list(F.struct("word_id", "syntax_parent_id", "links_to", "correct_root")).alias("words"))
+    fixed = lists.mapInPandas(run, f"file_id {dict(edges.dtypes)['file_id']}, sentence_id long, word_id long, syntax_parent_id long, cycle_status string")
+    return edges.drop("syntax_parent_id").join(fixed, [*SENTENCE, "word_id"])
+
+
+def _cycle(parent: dict[int, int]) -> list[int]:
+    """The words of some cycle, [] if there is none; each word is visited once."""
+    done: set[int] = set()
+    for w in parent:
+        path, at = [], w
+        while at in parent and at not in done:
+            if at in path:
+                return path[path.index(at) :]
+            path.append(at)
+            at = parent[at]
+        done.update(path)
+    return []
 
 
 def repaired(edges: DataFrame) -> DataFrame:

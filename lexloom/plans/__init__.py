@@ -1 +1,3 @@
-"""lexloom.plans"""
+"""lexloom.plans: named queries over a folder of tables."""
+
+from . import registry, table_queries, text_queries, word_queries  # noqa: F401
