@@ -123,7 +123,7 @@ def combinations(sentences: DataFrame, text: str, alternatives: Sequence[Sequenc
     flat = [a for s in alternatives for a in s]
     pattern = "|".join(sorted(flat, key=lambda x: (-len(x), x)))
     mark = "\u0001"
-    pieces = F.split(F.regexp_replace(F.col(text), f"(?i)(?<![\\p{{L}}])({pattern})(?![\\p{{L}}])", f"{mark}$1{mark}"), mark)
+    pieces = F.split(F.regexp_replace(F.col(text), f"(?iu)(?<![\\p{{L}}])({pattern})(?![\\p{{L}}])", f"{mark}$1{mark}"), mark)
     sets = F.create_map(*[x for s in alternatives for a in s for x in (F.lit(a), F.array(*map(F.lit, s)))])
 
     def options(x: Column, i: Column) -> Column:

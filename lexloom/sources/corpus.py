@@ -245,7 +245,7 @@ def transfused(sources: Sequence[Corpus], select: Callable[[DataFrame], DataFram
         before = ranges.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
         w = Window.partitionBy("range").orderBy("record")
         # 4096 rows.
-        upto = sizes.join(F.broadcast(before), "range").where(F.col("before") + F.sum("n").over(w) <= words_limit)
+        upto = sizes.join(F.broadcast(before), "range").withColumn("upto", F.col("before") + F.sum("n").over(w)).where(F.col("upto") <= words_limit)
         rows = rows.join(upto.select("record"), "record", "left_semi")
     return rows.join(TK.packed(rows, "record", words_per_frame), ["record", "sentence_id"])
 

@@ -168,7 +168,7 @@ def read_fb2(files: DataFrame) -> DataFrame:
 
 def fb2_summary(records: DataFrame) -> DataFrame:
     """(path, command, is_empty, n): what paths there are; those with no command and text are not understood."""
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
+    empty = ~F.coalesce("text", F.lit("")).rlike("\\S")
     return records.groupBy("path", command(F.col("path")).alias("command"), empty.alias("is_empty")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,7 +195,7 @@ def fb2_markdown(records: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     depth = F.least(F.size(F.regexp_extract_all("path", F.lit("/section"), F.lit(0))) + 1, F.lit(3))
     mark = F.concat(F.repeat(F.lit("#"), (depth + F.col("path").contains("/subtitle").cast("int") + 1).cast("int")), F.lit(" "))
-    bad = F.col("command").isNull() & (F.trim(text) != "")
+    bad = F.col("command").isNull() & text.rlike("\\S")
     starts = F.col("command").isin("newline", "header")
     line = F.sum(starts.cast("int")).over(Window.partitionBy("filename").orderBy("no"))
     piece = F.when(bad, F.raise_error(F.concat(F.lit("not understood: "), "path"))).when(F.col("command") == "header", F.concat(mark, text)).when(F.col("command").isin("newline", "sameline"), text)
