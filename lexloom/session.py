@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is costly per row: rows dealt out anew if they come in at most half as many partitions as there are
+    cores (few, large files). Otherwise nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def local_session(app: str = "lexloom", cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for one machine, as tests and the bench use it."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
