@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 # Words by what they are taken for. An ending after "+" may vary (see ENDINGS).
 LEXICON = {
@@ -329,7 +331,7 @@ def scored(documents: DataFrame, doc_id: str, text: str, terms: DataFrame) -> Da
 
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInPandas(run, f"doc_id {kind}, abuse double, hate double, sexual double, score double, sentences int")
+    found = spread(docs).mapInPandas(run, f"doc_id {kind}, abuse double, hate double, sexual double, score double, sentences int")
     return found.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("abuse", "hate", "sexual", "score", "sentences")])
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .glyphs import skeleton
 
 #: Words in a window: the shortest run that counts as a leak.
@@ -119,9 +120,9 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     if len(few) <= BROADCAST_WINDOWS * WALKS:
         held = spark.sparkContext.broadcast((few.key.to_numpy(), few.id.to_numpy(), few.words.tolist()))
-        found = docs.mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, windows long, edits int")
+        found = spread(docs).mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, windows long, edits int")
     else:
-        d = docs.mapInPandas(_windows, "id long, key long, words string").toDF("doc_id", "key", "doc_words")
+        d = spread(docs).mapInPandas(_windows, "id long, key long, words string").toDF("doc_id", "key", "doc_words")
         i = item_windows.toDF("item_id", "key", "item_words")
         measure = F.pandas_udf(lambda a, b: pd.Series([_edits(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype="int32"), "int")
         found = (

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..session import cut
+from ..session import cut, spread
 from .abuse import clean_name
 
 #: Place of the vocabulary, a file of base64 tokens and ranks (see the README); tokens in a block; slots in an output shard.
@@ -46,7 +46,7 @@ def token_sizes(documents: DataFrame, doc_id: str, text: str, source: str, token
 
     docs = documents.select(F.col(doc_id).alias("doc_id"), clean_name(F.col(source)).alias("source"), F.col(text).alias("text")).where("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInPandas(run, f"doc_id {kind}, source string, tokens long")
+    found = spread(docs).mapInPandas(run, f"doc_id {kind}, source string, tokens long")
     return found.groupBy("doc_id").agg(F.max_by("source", "tokens").alias("source"), F.max("tokens").alias("tokens"))
 
 

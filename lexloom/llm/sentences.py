@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import glyphs
 from .transducer import CONTEXT, KINDS, START, STATES, run_chunk
 
@@ -82,7 +83,7 @@ def text_sentences(texts: DataFrame, record: str, content: str) -> DataFrame:
     ).where("content is not null and record is not null and content != ''")
     schema = _FUNCTION
     long = F.length("content") > CHUNK * SPREAD
-    short_part = _chunks(rows.where(~long)).mapInPandas(_run_texts, schema)
+    short_part = spread(_chunks(rows.where(~long))).mapInPandas(_run_texts, schema)
     # A few very long texts: their chunks go to all executors.
     long_part = _chunks(rows.where(long)).repartition("record", "chunk").mapInPandas(_run_texts, schema)
     return _compose(short_part.unionByName(long_part)).distinct()
