@@ -27,7 +27,7 @@ START = P * KINDS
 
 # Abbreviations whose full stop never ends a sentence, and those that end one before a capital.
 NEVER = frozenset(
-    "г гг гл стр тыс проф им ул см рис табл корп обл пос пер просп пл акад доц инж ред изд ср напр св кв мин сек "
+    "г гг в вв гл стр тыс проф им ул см рис табл корп обл пос пер просп пл акад доц инж ред изд ср напр св кв мин сек "
     "prof capt dr mr mrs ms st vol pp no nos gen col lt sgt rev hon approx fig vs e.g i.e eg ie "
     "hr fr nr bzw ca bspw डॉ प्रो".split()
 )
@@ -207,7 +207,7 @@ def symbols(text: str, lo: int, hi: int) -> list[tuple]:
         if seen:
             nxt = seen.start()
         if nxt < len(flat) and VISIBLE.match(flat, nxt):
-            out.append((at, sym, nxt, _start_class(flat, nxt, sym[0] in ("B", "W", "V"))))
+            out.append((at, sym, nxt, _start_class(flat, nxt, sym[0] in ("B", "W", "V") or "\n" in flat[at:nxt])))
         else:
             out.append((at, sym, -1, "-"))
     out.sort(key=lambda x: (x[0], x[1][0] != "V"))
