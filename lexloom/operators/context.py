@@ -107,11 +107,12 @@ def auc(df: DataFrame, group: Sequence[str], score: str, positive: str) -> DataF
     return s.select(*group, F.try_divide(F.col("rp") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * m).alias("auc"))
 
 
-def best_threshold(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(threshold): the score that parts the classes best (true minus false positive rate); ties: the larger score."""
-    n = df.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+def best_threshold(df: DataFrame, score: str, positive: str, digits: int = 4) -> DataFrame:
+    """(threshold): the score that parts the classes best (true minus false positive rate); ties: the larger score.
+
+    Scores between 0 and 1, rounded to `digits`: the running sums see 10 ** digits rows at most."""
+    n = df.where(F.col(score).between(0, 1)).withColumn(score, F.round(score, digits)).groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
     all_ = n.agg(F.sum("p").alias("ap"), F.sum("q").alias("aq"))
-    # Over distinct scores in ranges: cumulative from above in two levels is not needed for the rates of one model.
     w = Window.orderBy(F.desc(score))
     c = n.withColumn("cp", F.sum("p").over(w)).withColumn("cq", F.sum("q").over(w)).join(F.broadcast(all_), F.lit(True))
     gain = F.try_divide("cp", "ap") - F.try_divide("cq", "aq")

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 Cols = Sequence[str]
 
 
@@ -142,6 +144,18 @@ def sampled(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(size)
 
 
+def numbered(df: DataFrame, order: Cols, name: str = "number") -> DataFrame:
+    """0-based numbers over all rows in the given order, without a task that sees them all: rows go to ranges of the order,
+    are written once (so that the ranges stay what they are), counted by range and numbered inside each."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # As many rows as partitions.
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy("_range").orderBy(*order)
+    out = ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.row_number().over(w) - 1)
+    return out.drop("_range", "_before")
+
+
 def joined_text(df: DataFrame, group: Cols, order: str, piece: Column, name: str) -> DataFrame:
     """String sum of a group in order (P25)."""
     gathered = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, piece.alias("_p")))).alias("_l"))

@@ -171,6 +171,19 @@ def stratified(rows: DataFrame, strata: Sequence[str], key: str, shares: tuple[f
     return rows.withColumn("_p", place).withColumn("split", F.when(F.col("_p") < shares[0], "train").when(F.col("_p") < shares[1], "display").otherwise("test")).drop("_p")
 
 
+def folds(rows: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
+    """fold: one of `count` by a hash of the key, so that rows of one key stay together."""
+    return rows.withColumn("fold", (F.conv(F.substring(hash_order(key, seed=seed), 1, 6), 16, 10).cast("long") % count).cast("int"))
+
+
+def split_by_time(rows: DataFrame, time: str, *borders: tuple[str, str]) -> DataFrame:
+    """split: the name of the first border (time, name) that a row lies before, else test; null times are test."""
+    out = F.lit("test")
+    for at, name in reversed(borders):
+        out = F.when(F.col(time) < F.lit(at).cast("timestamp"), name).otherwise(out)
+    return rows.withColumn("split", out)
+
+
 def restricted(bundle: dict[str, DataFrame], words: DataFrame) -> dict[str, DataFrame]:
     """A bundle with only the given words (word_id): src and each frame that has that key."""
     ids = words.select("word_id").distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tokens as TK
+from ..operators.relational import numbered
 
 RELATION = "file_1 string, file_2 string, relation_name string"
 
@@ -158,8 +159,8 @@ class Corpus:
         toc = toc_of(written)
         toc = toc.join(tags.select("file_id", "tags"), "file_id", "left") if tags is not None else toc.withColumn("tags", F.lit(None).cast("map<string,string>"))
         first = self.toc().count() if old is not None else 0
-        ordinal = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("max_id")) - 1 + first).cast("int")
-        toc = toc.withColumn("subcorpus_name", F.lit(subcorpus).cast("string")).withColumn("ordinal", ordinal)
+        toc = numbered(toc.withColumn("subcorpus_name", F.lit(subcorpus).cast("string")), ["max_id", "file_id"], "ordinal")
+        toc = toc.withColumn("ordinal", (F.col("ordinal") + first).cast("int"))
         self._write(toc, "toc", mode)
 
     def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 64) -> None:
