@@ -21,8 +21,11 @@ WINDOW = 10
 WALKS, SAMPLES = 2, 8
 #: Item windows up to which their keys go to all executors; beyond, keys are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Characters worked on at a time; longer texts come in pieces that overlap.
+PIECE = 1 << 20
 
 _SPLIT = re.compile("(?<=\\w)[-\u2010\u2011\u00ad][ \\t]*\\r?\\n[\\s>]*(?=\\w)")
+_BLANK = re.compile(r"(?<=[\w.,!?])[ \t](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _STEPS = 3 * WINDOW
 _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5][:WALKS]
@@ -81,24 +84,62 @@ def _edits(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _batch(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """All words of a batch in one row, the places where windows start and the text each belongs to."""
-    lists = [words_of(t) for t in texts]
-    flat = [w for ws in lists for w in ws]
-    sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
-    offset = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    counts = np.maximum(sizes - WINDOW + 1, 0)
-    owner = np.repeat(np.arange(len(lists)), counts)
-    starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offset[owner] if counts.sum() else np.zeros(0, np.int64)
-    return flat, _symbols(flat) if flat else np.zeros(0, np.uint64), starts.astype(np.int64), owner
+def _pieces(text: str | None) -> Iterator[tuple[list[str], int]]:
+    """The words of a text in pieces of about PIECE characters, and how many windows of each the piece before had already.
+
+    A piece begins so far before the end of the last one that every window lies in one piece whole."""
+    start, held, size, length = 0, 0, len(text or ""), PIECE
+    while start < size:
+        gap = _BLANK.search(text, start + length) if start + length < size else None
+        end = gap.start() if gap else size
+        words = words_of(text[start:end])
+        if end >= size:
+            yield words, max(0, held - WINDOW + 1)
+            return
+        back, again = 64 * WINDOW, []
+        while len(again) < WINDOW and back < 2 * (end - start):
+            m = _BLANK.search(text, max(start + 1, end - back), end)
+            at = m.start() if m else end
+            again = words_of(text[at:end])
+            back *= 4
+        if len(again) < WINDOW or words[len(words) - len(again) :] != again:
+            length *= 2  # no overlap to be had here: a longer piece
+            continue
+        yield words, max(0, held - WINDOW + 1)
+        start, held, length = at, len(again), PIECE
+
+
+def _batches(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, words, their symbols, starts of windows, row of ids each belongs to) of a batch, some PIECE characters at a time."""
+    ids, lists, skips, held = [], [], [], 0
+
+    def made():
+        sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
+        skip = np.array(skips, dtype=np.int64)
+        offset = np.cumsum(sizes) - sizes
+        counts = np.maximum(sizes - WINDOW + 1 - skip, 0)
+        owner = np.repeat(np.arange(len(lists)), counts)
+        starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + (offset + skip)[owner]
+        flat = [w for ws in lists for w in ws]
+        return np.array(ids), flat, _symbols(flat) if flat else np.zeros(0, np.uint64), starts.astype(np.int64), owner
+
+    for i, text in zip(part.id, part.text):
+        for words, skip in _pieces(text):
+            ids.append(i)
+            lists.append(words)
+            skips.append(skip)
+            held += sum(map(len, words))
+            if held > PIECE:
+                yield made()
+                ids, lists, skips, held = [], [], [], 0
+    if ids:
+        yield made()
 
 
 def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id, text) -> (id, key, words) for every window and walk."""
     for part in parts:
-        for lo in range(0, len(part), 256):
-            ids = part.id.to_numpy()[lo : lo + 256]
-            flat, symbols, starts, owner = _batch(part.text.tolist()[lo : lo + 256])
+        for ids, flat, symbols, starts, owner in _batches(part):
             if not len(starts):
                 continue
             words = [" ".join(flat[s : s + WINDOW]) for s in starts]
@@ -132,7 +173,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             .groupBy("doc_id", "item_id")
             .agg(F.count_distinct("doc_words").alias("windows"), F.min("edits").cast("int").alias("edits"))
         )
-    return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("edits").alias("edits"))
+    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("edits").alias("edits"))
 
 
 def _looking_up(held, max_edits: int):
@@ -142,10 +183,8 @@ def _looking_up(held, max_edits: int):
         sorted_keys = keys[order]
         for part in parts:
             out = []
-            for lo in range(0, len(part), 256):
-                own = part.id.to_numpy()[lo : lo + 256]
-                flat, symbols, starts, owner = _batch(part.text.tolist()[lo : lo + 256])
-                if not len(starts) or not len(keys):
+            for own, flat, symbols, starts, owner in _batches(part) if len(keys) else ():
+                if not len(starts):
                     continue
                 best: dict[tuple[int, int], int] = {}
                 seen: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -164,7 +203,7 @@ def _looking_up(held, max_edits: int):
                             e = 0 if words[i] == joined else _edits(window, words[i].split(" "))
                             if e <= max_edits:
                                 best[pair] = min(e, best.get(pair, e))
-                                seen[pair].add(int(starts[h]))
+                                seen[pair].add(int(h))
                 out += [(d, i, len(seen[d, i]), e) for (d, i), e in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "windows", "edits"])
 

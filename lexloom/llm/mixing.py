@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,9 @@ TOKENIZER, BLOCK, SHARD = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 2048, 2
 RANGE_BITS = 14
 
 
+_PART = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str):
     """The tokenizer in a file of ranks; one per worker."""
@@ -34,6 +38,17 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str | None, size: int = 1 << 20) -> Iterator[str]:
+    """A long text in pieces of about `size` characters that give the same tokens as the whole: cut before a single blank
+    between two visible characters, where the tokenizer's pattern parts words anyway."""
+    at = 0
+    while at < len(text or ""):
+        m = _PART.search(text, at + size) if at + size < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def token_sizes(documents: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens): each document's clean source and the tokens of its whole text.
 
@@ -42,7 +57,7 @@ def token_sizes(documents: DataFrame, doc_id: str, text: str, source: str, token
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(tokenizer)
         for part in parts:
-            yield pd.DataFrame({"doc_id": part.doc_id, "source": part.source, "tokens": [len(own.encode_ordinary(t)) if t else 0 for t in part.text]})
+            yield pd.DataFrame({"doc_id": part.doc_id, "source": part.source, "tokens": [sum(len(own.encode_ordinary(p)) for p in pieces(t)) for t in part.text]})
 
     docs = documents.select(F.col(doc_id).alias("doc_id"), clean_name(F.col(source)).alias("source"), F.col(text).alias("text")).where("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -69,3 +69,18 @@ def test_near_windows_mostly_collide():
         keys = [leaks.window_keys(leaks._symbols(x), np.array([0])) for x in (a, b)]
         hit += any(x[0] == y[0] for x, y in zip(*keys))
     assert hit / 300 > 0.3
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    docs, items = texts(9)
+    long = [(d, " ".join(t for _, t in docs[3 * d : 3 * d + 40])) for d in range(30)]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(long, "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id): (r.windows, r.edits) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert {k for k, v in whole.items() if v[1] == 0} == brute(long, items)
+    for t in (long[0][1], "слово " * 300, "", None):
+        for size in (150, 700):
+            monkeypatch.setattr(leaks, "PIECE", size)
+            got = [tuple(w[k : k + 10]) for w, skip in leaks._pieces(t) for k in range(skip, len(w) - 9)]
+            w = words_of(t)
+            assert got == [tuple(w[k : k + 10]) for k in range(len(w) - 9)]

@@ -50,3 +50,12 @@ def test_token_sizes(spark):
     d = spark.createDataFrame([(1, "Hello world", " A ", 3), (1, "Hello world", " A ", 3), (2, None, "B", 3), (3, "", None, 3), (4, "слово " * 5000, "a-XX", 3)], "doc_id long, text string, source string, tokens int")
     got = {r.doc_id: (r.source, r.tokens) for r in mixing.token_sizes(d, "doc_id", "text", "source").collect()}
     assert got[1][0] == "a" and got[1][1] >= 2 and got[2] == ("b", 0) and got[3] == (None, 0) and got[4][0] == "a" and got[4][1] >= 5000
+
+
+def test_pieces_give_the_same_tokens():
+    pytest.importorskip("public_tokenizers")
+    own = mixing.encoding(mixing.TOKENIZER)
+    for t in ("Мама  мыла раму, don't 12 345 и\n\n пошла   домой. " * 40, "", None, "без" * 200, "红色的地图 " * 50):
+        for size in (7, 64):
+            assert sum(len(own.encode_ordinary(p)) for p in mixing.pieces(t, size)) == (len(own.encode_ordinary(t)) if t else 0)
+            assert "".join(mixing.pieces(t, size)) == (t or "")
