@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -58,32 +59,60 @@ def aligned_tokens(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).applyInPandas(run, f"{key} {kind}, place_a int, place_b int, status string")
 
 
+#: Rows of a matching whose steps are held at once, at least, and similarities worked out at once, at most.
+BLOCK, CELLS = 256, 1 << 22
+
+
+def _advance(best: np.ndarray, sim, rows: range, at: int, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The greatest sums after the given rows, for the columns from `at` on, and with keep the steps (bits) of each row."""
+    width, steps = len(best), []
+    for first in range(rows.start, rows.stop, few := max(1, CELLS // width)):
+        s = sim(slice(first, min(first + few, rows.stop)), slice(at, at + width))
+        for i, x in enumerate(s, first):
+            go = np.concatenate(([-np.inf], best[:-1]))
+            step = (go >= best) & (go > -np.inf)
+            if i:
+                best = x + np.where(go > best, go, best)
+            else:
+                best = np.full(width, -np.inf)
+                best[0] = x[0]
+            if keep:
+                steps.append(np.packbits(step))
+    return best, np.array(steps) if keep else None
+
+
+def _path(n: int, m: int, sim) -> list[int]:
+    """The column of each of n rows in the matching `monotone` describes; sim(rows, columns) gives the similarities of two slices.
+
+    Sums are kept at the head of each block of rows and steps for one block at a time, worked out again on the way back: some
+    sqrt(n) rows instead of n. Columns from which the last one can't be reached any more are left out."""
+    size, best, heads = max(BLOCK, math.isqrt(n)), np.full(m, -np.inf), []
+    for start in range(0, n, size):
+        rows = range(start, min(start + size, n))
+        at, end = max(0, m - n + start - 1) if n >= m else 0, min(rows.stop, m)
+        heads.append((rows, at, best[at:end].copy()))
+        best[at:end] = _advance(best[at:end], sim, rows, at, False)[0]
+    j = m - 1 if n >= m else int(np.argmax(best))
+    out = [0] * n
+    for rows, at, head in reversed(heads):
+        steps = _advance(head, sim, rows, at, True)[1]
+        for i in reversed(rows):
+            out[i] = j
+            j -= int(steps[i - rows.start, (j - at) >> 3] >> (7 - ((j - at) & 7))) & 1
+    return out
+
+
 def monotone(sim: np.ndarray) -> dict[int, int]:
     """row -> column: the non-decreasing matching, one step at a time from (0, 0), with the greatest similarity; every
     column is met if there are at least as many rows. Ties: the step to the next column."""
     n, m = sim.shape
-    if not n or not m:
-        return {}
-    best = np.full((n, m), -np.inf)
-    best[0, 0] = sim[0, 0]
-    step = np.zeros((n, m), dtype=bool)
-    for i in range(1, n):
-        for j in range(min(i, m - 1) + 1):
-            stay = best[i - 1, j]
-            go = best[i - 1, j - 1] if j else -np.inf
-            step[i, j] = go >= stay and go > -np.inf
-            best[i, j] = sim[i, j] + max(stay, go)
-    j = min(n, m) - 1 if n >= m else int(np.argmax(best[n - 1]))
-    out = {}
-    for i in range(n - 1, -1, -1):
-        out[i] = j
-        if step[i, j]:
-            j -= 1
-    return out
+    return dict(enumerate(_path(n, m, lambda rows, columns: sim[rows, columns]))) if n and m else {}
 
 
 def matched_vectors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, place_a, place_b): monotone matching by cosine. a, b: key, place, vec array; the longer side is the rows."""
+    """(key, place_a, place_b): monotone matching by cosine. a, b: key, place, vec array; the longer side is the rows.
+
+    A key is one task: shorter side x (difference of the sides + a block of rows) similarities, none of them kept."""
     both = a.select(key, F.lit(0).alias("side"), "place", "vec").unionByName(b.select(key, F.lit(1).alias("side"), "place", "vec"))
     kind = dict(both.dtypes)[key]
 
@@ -95,10 +124,11 @@ def matched_vectors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
             return pd.DataFrame([], columns=cols)
         u, v = np.array(x.vec.tolist(), dtype=float), np.array(y.vec.tolist(), dtype=float)
         norm = lambda t: t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)
-        s = norm(u) @ norm(v).T
-        pairs = monotone(s).items() if len(x) >= len(y) else [(j, i) for i, j in monotone(s.T).items()]
-        k = pdf[key].iloc[0]
-        return pd.DataFrame([(k, int(x.place.iloc[i]), int(y.place.iloc[j])) for i, j in pairs], columns=cols)
+        u, v = norm(u), norm(v)
+        long, short = (u, v) if len(u) >= len(v) else (v, u)
+        places = np.array(_path(len(long), len(short), lambda rows, columns: long[rows] @ short[columns].T))
+        i, j = (np.arange(len(long)), places) if long is u else (places, np.arange(len(long)))
+        return pd.DataFrame({key: pdf[key].iloc[0], "place_a": x.place.to_numpy()[i], "place_b": y.place.to_numpy()[j]}, columns=cols)
 
     return both.groupBy(key).applyInPandas(run, f"{key} {kind}, place_a int, place_b int")
 

@@ -170,9 +170,9 @@ def token_alignment(spark, folder):
 
 @query()
 def monotone_matching(spark, folder):
-    """Monotone matching of the vectors of two labels, by place."""
+    """Monotone matching of all vectors of two labels, by place."""
     v = table(spark, folder, "embeddings", "vec_id", "embedding", "label").where("embedding is not null")
-    own = R.ordering(v, ["label"], ["vec_id"], "place").where("place < 200").select(F.expr("label div 2").alias("pair"), F.col("label"), F.col("place").cast("int"), F.col("embedding").alias("vec"))
+    own = R.ordering(v, ["label"], ["vec_id"], "place").select(F.expr("label div 2").alias("pair"), F.col("label"), F.col("place").cast("int"), F.col("embedding").alias("vec"))
     return alignment.matched_vectors(own.where("label % 2 = 0").drop("label"), own.where("label % 2 = 1").drop("label"), "pair")
 
 
