@@ -1,10 +1,14 @@
-"""Evaluation texts inside a corpus: CGK embedding of word windows, bit-sampling LSH, exact edit verification."""
+"""Evaluation texts inside a corpus: CGK embedding and covering samples of word windows as LSH keys, exact edit verification."""
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -16,13 +20,15 @@ from .glyphs import skeleton
 
 #: Words in a window: the shortest run that counts as a leak.
 WINDOW = 10
-#: Independent walks; places sampled of each. A window equal to an item's collides in every walk, one that differs by
-#: an inserted, lost or changed word still shares most places.
+#: Independent walks; places sampled of each. A window equal to an item's collides in every walk, one with a changed word in
+#: about half of the cases; what the walks miss is met by the covering samples.
 WALKS, SAMPLES = 2, 8
 #: Item windows up to which their keys go to all executors; beyond, keys are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 #: Characters worked on at a time; longer texts come in pieces that overlap.
 PIECE = 1 << 20
+#: Bits (a power of 2) of the largest filter of item keys; pairs of windows measured at a time.
+FILTER, PAIRS = 29, 1 << 20
 
 _SPLIT = re.compile("(?<=\\w)[-\u2010\u2011\u00ad][ \\t]*\\r?\\n[\\s>]*(?=\\w)")
 _BLANK = re.compile(r"(?<=[\w.,!?])[ \t](?=\w)")
@@ -48,8 +54,41 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def window_keys(symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each walk the LSH key of each window symbols[s : s + WINDOW].
+@cache
+def _covers(max_edits: int) -> list[tuple[int, tuple[int, ...], list[list[int]], list[tuple[int, ...]]]]:
+    """What covering_keys samples: (words taken out, places left, parts of those, parts that a key is made of).
+
+    Two windows of one length that differ by at most max_edits have, for some `out`, `out` words missing in each and at most
+    max_edits - 2 out changed ones. Once the missing words are taken out, the changed ones lie in as many parts at most."""
+    covers = []
+    for out in range(min(max_edits // 2, WINDOW) + 1):
+        changed, left = max_edits - 2 * out, WINDOW - out
+        count = min(changed + 3 if changed else 1, left)
+        parts = [p.tolist() for p in np.array_split(np.arange(left), count)] if count else []
+        kept = list(combinations(range(count), max(0, count - changed)))
+        covers += [(out, tuple(k for k in range(WINDOW) if k not in gone), parts, kept) for gone in combinations(range(WINDOW), out)]
+    return covers
+
+
+def covering_keys(symbols: np.ndarray, starts: np.ndarray, max_edits: int) -> list[np.ndarray]:
+    """Keys of each window of which any two windows that differ by at most max_edits words share one, whatever the words."""
+    mixed, terms, keys = _mix(symbols, 0x2545F4914F6CDD1D), {}, []
+
+    def term(place: int, k: int) -> np.ndarray:
+        if (place, k) not in terms:
+            terms[place, k] = mixed[starts + place] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+        return terms[place, k]
+
+    for out, places, parts, kept in _covers(max_edits):
+        sums = [sum((term(places[k], k) for k in part[1:]), term(places[part[0]], part[0])) for part in parts]
+        for number, chosen in enumerate(kept):
+            total = sum((sums[c] for c in chosen), np.zeros(len(starts), np.uint64))
+            keys.append(_mix(total, (out + 1) << 32 | number + 1))
+    return keys
+
+
+def window_keys(symbols: np.ndarray, starts: np.ndarray, max_edits: int = 2) -> list[np.ndarray]:
+    """The LSH keys of each window symbols[s : s + WINDOW]: one of each walk, then the covering ones.
 
     The CGK embedding copies a window's symbols one by one; after each copy a bit drawn from (step, symbol) says
     whether to go on to the next symbol or to copy this one again. Edits so become a few differing places. The key
@@ -66,8 +105,8 @@ def window_keys(symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             if step in places:
                 key = _mix(np.where(inside, symbols[here], np.uint64(0)), 0) ^ _mix(key, step + 1)
             at = at + (((bits[here] >> np.uint64(step)) & np.uint64(1)).astype(np.int64) & inside)
-        keys.append(key)
-    return keys
+        keys.append(_mix(key, len(keys)))
+    return keys + covering_keys(symbols, starts, max_edits)
 
 
 def _symbols(words: list[str]) -> np.ndarray:
@@ -84,6 +123,15 @@ def _edits(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def _near(a: list[str], b: list[str], most: int) -> int:
+    """Word edit distance of two windows of one length, or some number above `most` if it is that far."""
+    changed = sum(map(ne, a, b))
+    if changed <= 2:
+        return changed
+    # Each word of the one that the other has nowhere costs an edit.
+    return len(set(a) - set(b)) if len(set(a) - set(b)) > most else _edits(a, b)
+
+
 def _pieces(text: str | None) -> Iterator[tuple[list[str], int]]:
     """The words of a text in pieces of about PIECE characters, and how many windows of each the piece before had already.
 
@@ -109,20 +157,21 @@ def _pieces(text: str | None) -> Iterator[tuple[list[str], int]]:
         start, held, length = at, len(again), PIECE
 
 
-def _batches(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, words, their symbols, starts of windows, row of ids each belongs to) of a batch, some PIECE characters at a time."""
-    ids, lists, skips, held = [], [], [], 0
+def _flat(ids: list, lists: list[list[str]], skips: list[int]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, words, their symbols, starts of windows, row of ids each belongs to) of lists of words."""
+    sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
+    skip = np.array(skips, dtype=np.int64)
+    offset = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - WINDOW + 1 - skip, 0)
+    owner = np.repeat(np.arange(len(lists)), counts)
+    starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + (offset + skip)[owner]
+    flat = [w for ws in lists for w in ws]
+    return np.array(ids), flat, _symbols(flat) if flat else np.zeros(0, np.uint64), starts.astype(np.int64), owner
 
-    def made():
-        sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
-        skip = np.array(skips, dtype=np.int64)
-        offset = np.cumsum(sizes) - sizes
-        counts = np.maximum(sizes - WINDOW + 1 - skip, 0)
-        owner = np.repeat(np.arange(len(lists)), counts)
-        starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + (offset + skip)[owner]
-        flat = [w for ws in lists for w in ws]
-        return np.array(ids), flat, _symbols(flat) if flat else np.zeros(0, np.uint64), starts.astype(np.int64), owner
 
+def _batches(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """The _flat of a batch, some PIECE characters at a time."""
+    ids, lists, skips, held = [], [], [], 0
     for i, text in zip(part.id, part.text):
         for words, skip in _pieces(text):
             ids.append(i)
@@ -130,44 +179,79 @@ def _batches(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str], np.nda
             skips.append(skip)
             held += sum(map(len, words))
             if held > PIECE:
-                yield made()
+                yield _flat(ids, lists, skips)
                 ids, lists, skips, held = [], [], [], 0
     if ids:
-        yield made()
+        yield _flat(ids, lists, skips)
 
 
-def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, text) -> (id, key, words) for every window and walk."""
+def _word_lists(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, text) -> (id, words, skip, windows) for every piece that has windows."""
     for part in parts:
-        for ids, flat, symbols, starts, owner in _batches(part):
-            if not len(starts):
-                continue
-            words = [" ".join(flat[s : s + WINDOW]) for s in starts]
-            for walk, key in enumerate(window_keys(symbols, starts)):
-                yield pd.DataFrame({"id": ids[owner], "key": _mix(key, walk).view(np.int64), "words": words})
+        for i, text in zip(part.id, part.text):
+            for words, skip in _pieces(text):
+                if len(words) - WINDOW + 1 > skip:
+                    yield pd.DataFrame({"id": [i], "words": [" ".join(words)], "skip": [skip], "windows": [len(words) - WINDOW + 1 - skip]})
+
+
+def _filter_bits(keys: int) -> int:
+    """How many key bits a filter of so many keys tells apart: 16 to 32 places a key, while FILTER allows it."""
+    return min(FILTER, max(6, (16 * keys).bit_length()))
+
+
+def _passing(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the keys (signed) may be among those that the filter was made of."""
+    at = keys & (64 * len(held) - 1)
+    return np.nonzero((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))[0]
+
+
+def _windows(max_edits: int, held=None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(id, text) -> (id, key, words) for every key of every window; of those that pass the filter, if one is held."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for ids, flat, symbols, starts, owner in _batches(part):
+                if not len(starts):
+                    continue
+                for key in window_keys(symbols, starts, max_edits):
+                    key = key.view(np.int64)
+                    some = _passing(held.value, key) if held else np.arange(len(key))
+                    if len(some):
+                        yield pd.DataFrame({"id": ids[owner[some]], "key": key[some], "words": [" ".join(flat[s : s + WINDOW]) for s in starts[some]]})
+
+    return run
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, max_edits: int = 2) -> DataFrame:
-    """(doc_id, item_id, windows, edits): the item and the document share `windows` LSH windows of WINDOW words that
+    """(doc_id, item_id, windows, edits): the item and the document share `windows` windows of WINDOW words that
     differ by at most max_edits words, at best by `edits`; edits = 0 means WINDOW equal consecutive words.
 
-    Every word window of every document is embedded and looked up; candidates are verified exactly on the words.
-    Equal windows collide in each walk, so recall for edits = 0 is 1. Repeated rows, null and short texts: a text of
-    fewer than WINDOW words takes no part. Rows with a null id are left out."""
+    Every word window of every document is looked up by its keys; candidates are verified exactly on the words. Windows
+    that differ by at most max_edits words share a covering key, so recall is 1 for each number of edits up to that.
+    Repeated rows, null and short texts: a text of fewer than WINDOW words takes no part. Rows with a null id are left out."""
     spark = documents.sparkSession
-    item_windows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct().mapInPandas(_windows, "id long, key long, words string").distinct()
-    # At most BROADCAST_WINDOWS + 1 rows come back: enough to know whether they may be broadcast.
-    few = item_windows.limit(BROADCAST_WINDOWS * WALKS + 1).toPandas()
+    item_texts = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
+    lists = item_texts.mapInPandas(_word_lists, "id long, words string, skip long, windows long")
+    count = lists.agg(F.sum("windows")).first()[0] or 0
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    if len(few) <= BROADCAST_WINDOWS * WALKS:
-        held = spark.sparkContext.broadcast((few.key.to_numpy(), few.id.to_numpy(), few.words.tolist()))
+    if count <= BROADCAST_WINDOWS:
+        held = spark.sparkContext.broadcast(_index(lists.select("id", "words", "skip").toPandas(), max_edits))
         found = spread(docs).mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, windows long, edits int")
     else:
-        d = spread(docs).mapInPandas(_windows, "id long, key long, words string").toDF("doc_id", "key", "doc_words")
+        item_windows = item_texts.mapInPandas(_windows(max_edits), "id long, key long, words string").distinct()
+        bits = _filter_bits(count * len(window_keys(np.zeros(WINDOW, np.uint64), np.zeros(1, np.int64), max_edits)))
+        at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+        # At most 2 ** FILTER / 64 rows come back.
+        full = item_windows.groupBy(F.shiftright(at, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toPandas()
+        held = np.zeros(1 << bits - 6, np.uint64)
+        held[full["at"].to_numpy()] = full.bits.to_numpy().view(np.uint64)
+        d = spread(docs).mapInPandas(_windows(max_edits, spark.sparkContext.broadcast(held)), "id long, key long, words string").toDF("doc_id", "key", "doc_words")
         i = item_windows.toDF("item_id", "key", "item_words")
-        measure = F.pandas_udf(lambda a, b: pd.Series([_edits(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype="int32"), "int")
+        measure = F.pandas_udf(lambda a, b: pd.Series([_near(x.split(" "), y.split(" "), max_edits) for x, y in zip(a, b)], dtype="int32"), "int")
         found = (
             d.join(i, "key")
+            .select("doc_id", "item_id", "doc_words", "item_words")
+            .distinct()
             .withColumn("edits", F.when(F.col("doc_words") == F.col("item_words"), F.lit(0)).otherwise(measure("doc_words", "item_words")))
             .where(F.col("edits") <= max_edits)
             .groupBy("doc_id", "item_id")
@@ -176,11 +260,40 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("edits").alias("edits"))
 
 
+def _index(lists: pd.DataFrame, max_edits: int):
+    """Of the items: their words, the starts and ids of their distinct windows, sorted keys, the window of each, a filter of the keys."""
+    ids, flat, symbols, starts, owner = _flat(lists.id.tolist(), [[*map(sys.intern, w.split(" "))] for w in lists.words], lists.skip.tolist())
+    if not len(starts):
+        return [], starts, starts, starts, starts, np.zeros(1, np.uint64)
+    codes = pd.factorize(np.array(flat, dtype=object))[0].astype(np.int32)
+    first = ~pd.DataFrame({"id": ids[owner]} | {f"w{k}": codes[starts + k] for k in range(WINDOW)}).duplicated().to_numpy()
+    starts, ids = starts[first], ids[owner[first]]
+    each = window_keys(symbols, starts, max_edits)
+    keys = np.concatenate(each).view(np.int64)
+    order = np.argsort(keys, kind="stable")
+    held = np.zeros(1 << _filter_bits(len(keys)) - 6, np.uint64)
+    at = keys & (64 * len(held) - 1)
+    np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return flat, starts, ids, keys[order], (order % len(starts)).astype(np.int32), held
+
+
+def _candidates(key: np.ndarray, keys: np.ndarray, windows: np.ndarray, held: np.ndarray, count: int) -> Iterator[np.ndarray]:
+    """Place in key * count + item window for each pair with equal keys, about PAIRS at a time."""
+    some = _passing(held, key)
+    left = np.searchsorted(keys, key[some], "left")
+    sizes = np.searchsorted(keys, key[some], "right") - left
+    some, left, sizes = some[sizes > 0], left[sizes > 0], sizes[sizes > 0]
+    group = np.cumsum(sizes) // PAIRS
+    for g in np.unique(group):
+        own = group == g
+        n = sizes[own]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[own], n)
+        yield np.repeat(some[own], n) * count + windows[place]
+
+
 def _looking_up(held, max_edits: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, ids, words = held.value
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
+        words, item_starts, ids, keys, windows, full = held.value
         for part in parts:
             out = []
             for own, flat, symbols, starts, owner in _batches(part) if len(keys) else ():
@@ -188,23 +301,28 @@ def _looking_up(held, max_edits: int):
                     continue
                 best: dict[tuple[int, int], int] = {}
                 seen: dict[tuple[int, int], set[int]] = defaultdict(set)
-                for walk, key in enumerate(window_keys(symbols, starts)):
-                    key = _mix(key, walk).view(np.int64)
-                    left = np.searchsorted(sorted_keys, key, "left")
-                    hit = np.nonzero((left < len(sorted_keys)) & (sorted_keys[np.minimum(left, len(sorted_keys) - 1)] == key))[0]
-                    for h in hit:
-                        window = flat[starts[h] : starts[h] + WINDOW]
-                        joined = " ".join(window)
-                        k = left[h]
-                        while k < len(sorted_keys) and sorted_keys[k] == key[h]:
-                            i = order[k]
-                            k += 1
+                for pairs in _some(c for key in window_keys(symbols, starts, max_edits) for c in _candidates(key.view(np.int64), keys, windows, full, len(ids))):
+                    for h, i in zip(*(x.tolist() for x in np.divmod(pairs, len(ids)))):
+                        window, other = flat[starts[h] : starts[h] + WINDOW], words[item_starts[i] : item_starts[i] + WINDOW]
+                        e = _near(window, other, max_edits)
+                        if e <= max_edits:
                             pair = (int(own[owner[h]]), int(ids[i]))
-                            e = 0 if words[i] == joined else _edits(window, words[i].split(" "))
-                            if e <= max_edits:
-                                best[pair] = min(e, best.get(pair, e))
-                                seen[pair].add(int(h))
+                            best[pair] = min(e, best.get(pair, e))
+                            seen[pair].add(h)
                 out += [(d, i, len(seen[d, i]), e) for (d, i), e in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "windows", "edits"])
 
     return run
+
+
+def _some(pairs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The distinct pairs of all arrays, or of those that together hold about PAIRS."""
+    held, size = [], 0
+    for x in pairs:
+        held.append(x)
+        size += len(x)
+        if size > PAIRS:
+            yield np.unique(np.concatenate(held))
+            held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held))
