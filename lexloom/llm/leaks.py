@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
@@ -223,8 +222,8 @@ def _windows(max_edits: int, held=None) -> Callable[[Iterator[pd.DataFrame]], It
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, max_edits: int = 2) -> DataFrame:
-    """(doc_id, item_id, windows, edits): the item and the document share `windows` windows of WINDOW words that
-    differ by at most max_edits words, at best by `edits`; edits = 0 means WINDOW equal consecutive words.
+    """(doc_id, item_id, windows, edits): `windows` distinct windows of WINDOW words of the document differ from some of the
+    item's by at most max_edits words, at best by `edits`; edits = 0 means WINDOW equal consecutive words.
 
     Every word window of every document is looked up by its keys; candidates are verified exactly on the words. Windows
     that differ by at most max_edits words share a covering key, so recall is 1 for each number of edits up to that.
@@ -236,7 +235,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     if count <= BROADCAST_WINDOWS:
         held = spark.sparkContext.broadcast(_index(lists.select("id", "words", "skip").toPandas(), max_edits))
-        found = spread(docs).mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, windows long, edits int")
+        found = spread(docs).mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, doc_words string, edits int")
     else:
         item_windows = item_texts.mapInPandas(_windows(max_edits), "id long, key long, words string").distinct()
         bits = _filter_bits(count * len(window_keys(np.zeros(WINDOW, np.uint64), np.zeros(1, np.int64), max_edits)))
@@ -254,10 +253,8 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             .distinct()
             .withColumn("edits", F.when(F.col("doc_words") == F.col("item_words"), F.lit(0)).otherwise(measure("doc_words", "item_words")))
             .where(F.col("edits") <= max_edits)
-            .groupBy("doc_id", "item_id")
-            .agg(F.count_distinct("doc_words").alias("windows"), F.min("edits").cast("int").alias("edits"))
         )
-    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("edits").alias("edits"))
+    return found.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_words").alias("windows"), F.min("edits").alias("edits"))
 
 
 def _index(lists: pd.DataFrame, max_edits: int):
@@ -299,18 +296,16 @@ def _looking_up(held, max_edits: int):
             for own, flat, symbols, starts, owner in _batches(part) if len(keys) else ():
                 if not len(starts):
                     continue
-                best: dict[tuple[int, int], int] = {}
-                seen: dict[tuple[int, int], set[int]] = defaultdict(set)
+                best: dict[tuple[int, int, str], int] = {}
                 for pairs in _some(c for key in window_keys(symbols, starts, max_edits) for c in _candidates(key.view(np.int64), keys, windows, full, len(ids))):
                     for h, i in zip(*(x.tolist() for x in np.divmod(pairs, len(ids)))):
                         window, other = flat[starts[h] : starts[h] + WINDOW], words[item_starts[i] : item_starts[i] + WINDOW]
                         e = _near(window, other, max_edits)
                         if e <= max_edits:
-                            pair = (int(own[owner[h]]), int(ids[i]))
-                            best[pair] = min(e, best.get(pair, e))
-                            seen[pair].add(h)
-                out += [(d, i, len(seen[d, i]), e) for (d, i), e in best.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "windows", "edits"])
+                            found = (int(own[owner[h]]), int(ids[i]), " ".join(window))
+                            best[found] = min(e, best.get(found, e))
+                out += [(*found, e) for found, e in best.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_words", "edits"])
 
     return run
 

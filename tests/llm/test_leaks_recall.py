@@ -78,3 +78,18 @@ def test_near_windows_are_all_found(spark, monkeypatch, limit):
     i = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
     assert got == {k: e for k, (_, e) in want.items()}
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 300])
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_both_ways_count_distinct_windows(spark, monkeypatch, limit, piece):
+    """All columns, with passages that come twice in a document, repeated rows and two texts of one id."""
+    monkeypatch.setattr(leaks, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(leaks, "PIECE", piece)
+    docs, items = texts(4)
+    twice = [(d, f"{t} {t}") for d, t in docs[:10]]
+    want = near([*twice, *docs[10:]], items)
+    d = spark.createDataFrame([*twice, *docs, *docs[10:30]], "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame([*items, *items[:3]], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.windows, r.edits) for r in leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == want
