@@ -101,13 +101,15 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.scored(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "abuse_term", "term", "category"))
+    return abuse.scored(
+        table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "abuse_term", "term", "category"), table(spark, folder, "review_label", "doc_id", "rater", "toxic")
+    )
 
 
 @_query
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with at least one abusive, hateful or sexual sentence: (doc_id)."""
-    return _scores(spark, folder).where("score >= 1").select("doc_id")
+    return _scores(spark, folder).where("score >= 0.5").select("doc_id")
 
 
 @_query
