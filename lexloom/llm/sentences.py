@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
 from . import glyphs
-from .transducer import CONTEXT, KINDS, START, STATES, run_chunk
+from .transducer import CONTEXT, KINDS, LONGEST_WORD, START, STATES, line_shape, line_width, run_chunk
 
 #: Characters in a chunk, tokens in a chunk, chunks in a block. BLOCK * BLOCK * CHUNK exceeds the longest string there is.
 CHUNK, TOKENS, BLOCK = 8192, 2048, 1024
@@ -22,29 +22,52 @@ SPREAD = 64
 _FUNCTION = "record string, copy long, chunk long, ends array<int>, events array<struct<at:long,mask:long>>"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys into a stated number of parts: what is few bytes but much work is not to be packed
+    into a few tasks for being small."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def _run_texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
-        for record, copy, chunk, left, core, right in zip(*(part[c] for c in ("record", "copy", "chunk", "left", "core", "right"))):
+        for record, copy, chunk, left, core, right, width in zip(*(part[c] for c in ("record", "copy", "chunk", "left", "core", "right", "width"))):
             lo = len(left)
-            ends, events = run_chunk(left + core + right, lo, lo + len(core), chunk * CHUNK - lo, chunk == 0)
+            ends, events = run_chunk(left + core + right, lo, lo + len(core), chunk * CHUNK - lo, chunk == 0, width)
             rows.append((record, copy, chunk, ends, [{"at": a, "mask": m} for a, m in events]))
         yield pd.DataFrame(rows, columns=["record", "copy", "chunk", "ends", "events"])
 
 
+def _widths(heads: pd.Series, sizes: pd.Series, tails: pd.Series) -> pd.Series:
+    """line_width of each text, of whose lines come the sizes and so many characters of both ends as bear on it."""
+    out = []
+    for head, size, tail in zip(heads, sizes, tails):
+        # A line as long as the true one, with its ends.
+        lines = [t.rjust(n, "x") if len(t) < n else t for t, n in zip(tail, size)]
+        shapes = [x for k in range(len(lines) - 1) for x in line_shape([lines[k], head[k + 1]])]
+        out.append(line_width(shapes, size.tolist()))
+    return pd.Series(out, dtype="int32")
+
+
 def _chunks(texts: DataFrame) -> DataFrame:
-    """(record, copy, content) -> chunks with CONTEXT characters of their neighbours; one linear pass over each text."""
-    cut = texts.withColumn("pieces", F.expr(f"regexp_extract_all(content, '(?s).{{1,{CHUNK}}}', 0)")).drop("content")
+    """(record, copy, content) -> chunks with CONTEXT characters of their neighbours, and the width of the text's lines; one
+    linear pass over each text. For the width no more than both ends of each line go to Python."""
+    lines = texts.withColumn("lines", F.expr("if(instr(content, '\n') > 0, transform(split(content, '\n'), x -> rtrim(x)), null)"))
+    heads, sizes, tails = (F.expr(f"transform(coalesce(lines, array()), x -> {x})") for x in (f"left(x, {LONGEST_WORD + 1})", "length(x)", f"right(x, {LONGEST_WORD + 1})"))
+    width = F.when(F.col("lines").isNotNull(), F.pandas_udf(_widths, "int")(heads, sizes, tails)).otherwise(0)
+    cut = lines.withColumn("width", width).drop("lines").withColumn("pieces", F.expr(f"regexp_extract_all(content, '(?s).{{1,{CHUNK}}}', 0)")).drop("content")
     spread = F.expr(
         f"transform(pieces, (c, i) -> struct(cast(i as long) as chunk, "
         f"if(i > 0, right(try_element_at(pieces, i), {CONTEXT}), '') as left, c as core, "
         f"coalesce(left(try_element_at(pieces, i + 2), {CONTEXT}), '') as right))"
     )
-    return cut.select("record", "copy", F.inline(spread))
+    return cut.select("record", "copy", "width", F.inline(spread))
 
 
 def _compose(functions: DataFrame) -> DataFrame:
-    """Parallel prefix scan over chunk functions, then the boundaries of each chunk for its true start state.
+    """(record, copy, start_at): parallel prefix scan over chunk functions, then the boundaries of each chunk for its true start state.
 
     Three levels: chunks compose within blocks of BLOCK, blocks within a record (at most BLOCK of them hold chunks of
     one string), and each chunk is given the state in which its block and its predecessors leave the transducer.
@@ -67,9 +90,9 @@ def _compose(functions: DataFrame) -> DataFrame:
             F.expr("aggregate(items, array(start), (a, x) -> concat(a, array(element_at(x.ends, element_at(a, -1) + 1))))"),
         )
     )
-    chunks = states.select("record", F.expr("inline(transform(items, (x, i) -> struct(x.events as events, element_at(starts, i + 1) as start)))"))
-    events = chunks.select("record", "start", F.expr("inline(events)"))
-    return events.where(F.expr("(shiftright(mask, start) & 1) = 1")).select("record", F.col("at").alias("start_at"))
+    chunks = states.select("record", "copy", F.expr("inline(transform(items, (x, i) -> struct(x.events as events, element_at(starts, i + 1) as start)))"))
+    events = chunks.select("record", "copy", "start", F.expr("inline(events)"))
+    return events.where(F.expr("(shiftright(mask, start) & 1) = 1")).select("record", "copy", F.col("at").alias("start_at"))
 
 
 def text_sentences(texts: DataFrame, record: str, content: str) -> DataFrame:
@@ -78,9 +101,18 @@ def text_sentences(texts: DataFrame, record: str, content: str) -> DataFrame:
     Null, empty and blank texts have no sentence. Repeated rows and copies of a record count once; a record that
     comes with two different texts gets the sentences of both. Other columns of `texts` don't matter. Texts of any
     length: they are cut into chunks that are worked on independently."""
-    rows = texts.select(
-        F.col(record).cast("string").alias("record"), F.xxhash64(F.col(content)).alias("copy"), F.col(content).alias("content")
-    ).where("content is not null and record is not null and content != ''")
+    return _text_starts(texts, record, content).select("record", "start_at").distinct()
+
+
+def _copy(content: str) -> Column:
+    """What tells the texts of one record apart."""
+    return F.xxhash64(F.col(content))
+
+
+def _text_starts(texts: DataFrame, record: str, content: str) -> DataFrame:
+    """(record, copy, start_at): the sentences of each text of a record."""
+    rows = texts.select(F.col(record).cast("string").alias("record"), _copy(content).alias("copy"), F.col(content).alias("content"))
+    rows = rows.where("content is not null and record is not null and content != ''")
     schema = _FUNCTION
     long = F.length("content") > CHUNK * SPREAD
     short_part = spread(_chunks(rows.where(~long))).mapInPandas(_run_texts, schema)
@@ -146,19 +178,20 @@ def token_sentences(tokens: DataFrame) -> DataFrame:
         F.array(chunk, F.when(place < NEAR, chunk - 1), F.when(place >= TOKENS - NEAR, chunk + 1))
     )
     functions = (
-        rows.withColumn("chunk", F.explode(near)).groupBy("record", "chunk").applyInPandas(_run_tokens, _FUNCTION)
+        dealt(rows.withColumn("chunk", F.explode(near)), "record", "chunk").groupBy("record", "chunk").applyInPandas(_run_tokens, _FUNCTION)
     )
-    return _compose(functions).distinct()
+    return _compose(functions).select("record", "start_at").distinct()
 
 
 def sentence_texts(texts: DataFrame, record: str, content: str, *keep: str) -> DataFrame:
     """(record columns kept, sentences array<struct<start, text>> in order): each text with its sentences cut out.
 
-    Texts without sentences are left out; of copies of a record with the same text one row comes out."""
-    starts = text_sentences(texts, record, content).groupBy("record").agg(F.sort_array(F.collect_list("start_at")).alias("starts"))
-    rows = texts.select(F.col(record).cast("string").alias("record"), F.col(content).alias("content"), *keep).dropDuplicates(["record"])
+    Texts without sentences are left out; of copies of a record with the same text one row comes out, of a record with
+    different texts one for each, cut at its own boundaries."""
+    starts = _text_starts(texts, record, content).groupBy("record", "copy").agg(F.sort_array(F.collect_list("start_at")).alias("starts"))
+    rows = texts.select(F.col(record).cast("string").alias("record"), _copy(content).alias("copy"), F.col(content).alias("content"), *keep).dropDuplicates(["record", "copy"])
     cutter = F.pandas_udf(_slices, "array<struct<start:long,text:string>>")
-    return rows.join(starts, "record").withColumn("sentences", cutter("content", "starts")).drop("content", "starts")
+    return rows.join(starts, ["record", "copy"]).withColumn("sentences", cutter("content", "starts")).drop("copy", "content", "starts")
 
 
 def _slices(content: pd.Series, starts: pd.Series) -> pd.Series:

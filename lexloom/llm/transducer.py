@@ -13,8 +13,14 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+
 #: Characters around a symbol that may decide it.
 CONTEXT = 256
+#: Characters of the longest word that keeps a line from being filled.
+LONGEST_WORD = 16
+#: Characters that a line must have to show by itself that lines are wrapped.
+SINGLE = 40
 
 # How the current sentence began: normally, with a quotation, as a line of dialogue (in speech, in the words
 # around the speech), with a list number, not yet.
@@ -51,6 +57,7 @@ SYMBOL = re.compile(
     rf"|(?P<da>,[{BLANK}]*\n?[{BLANK}]*[—–][{BLANK}]*\n?[{BLANK}]*(?=\w))"
     rf"|(?P<th>(?<=[{THAI}])[{BLANK}]+(?=[{THAI}]))"
 )
+CAN_BREAK = re.compile(f"[{CJK}{THAI}]")
 VISIBLE = re.compile(rf"[^{BLANK}\n]")
 TOKEN_BEFORE = re.compile(r"(?:\w+\.)*\w+[ ]?$")
 
@@ -74,8 +81,46 @@ def _start_class(text: str, at: int, listed: bool) -> str:
     return "m" if listed and re.match(r"\d{1,3}[.)]", text[at : at + 5]) else "n"
 
 
-def _break(text: str, m: re.Match) -> bool:
-    """Does this line break end what stands before it, or does it merely wrap a line?"""
+def line_shape(lines: list[str]) -> list[tuple[int, int]]:
+    """Of each line but the last that another one follows: the columns between which it would have been broken anyway had
+    lines been wrapped there, from the begin of its last word to where the next line's first word would have ended.
+
+    Text without blanks may be broken between any two characters, so no word is taken to be longer than LONGEST_WORD."""
+    out = []
+    for line, after in zip(lines, lines[1:]):
+        line, after = line.rstrip(), after[: LONGEST_WORD + 1]
+        if line and after.strip() and not after[0].isspace():
+            out.append((len(line) - _word(line[-LONGEST_WORD:].rpartition(" ")[2]), len(line) + 1 + _word(after.partition(" ")[0])))
+    return out
+
+
+def _word(word: str) -> int:
+    return 2 if CAN_BREAK.search(word) else min(len(word), LONGEST_WORD)
+
+
+def line_width(shapes: list[tuple[int, int]], sizes: list[int]) -> int:
+    """The column at which a text whose lines have these sizes is wrapped, 0 if it isn't.
+
+    The column that lies within most lines' shapes, less the lines that go on beyond it, is the text's if at least two lines and a quarter of
+    all are broken there and at most a tenth go beyond. A single line that another follows shows a width only if it is
+    the longest of the text and no short one."""
+    if not shapes:
+        return 0
+    if len(shapes) == 1:
+        return shapes[0][1] if SINGLE <= max(sizes) < shapes[0][1] else 0
+    lines = sum(n > 0 for n in sizes)
+    a, b = np.array(shapes).T
+    change = np.zeros(int(b.max()) + 2, np.int64)
+    np.add.at(change, a, 1)
+    np.add.at(change, b + 1, -1)
+    filled = np.cumsum(change)
+    beyond = len(a) - np.cumsum(np.bincount(a, minlength=len(filled)))
+    width = int(np.argmax(filled - beyond))
+    return width if filled[width] >= max(2, 0.25 * lines) and beyond[width] <= 0.1 * lines else 0
+
+
+def _break(text: str, m: re.Match, width: int) -> bool:
+    """Does this line break end what stands before it, or does it merely wrap a line at the width?"""
     gap = m.group()
     first = gap.index("\n")
     if gap.find("\n", first + 1) >= 0 or not gap.endswith("\n"):
@@ -88,10 +133,11 @@ def _break(text: str, m: re.Match) -> bool:
     if line.rstrip()[-1:] not in TERMINATORS and word[:1].islower():
         return False
     # A wrapped line is filled: what is shorter although the next word had found room, or longer than any filled line, was broken on purpose.
-    return len(line) < 46 or len(line) > 84 or len(line) + 1 + len(word) < 62
+    shape = line_shape([line, rest])
+    return not (shape and shape[0][0] <= width <= shape[0][1])
 
 
-def _terminator(text: str, m: re.Match) -> tuple | None:
+def _terminator(text: str, m: re.Match, width: int) -> tuple | None:
     """The symbol of a terminator: ("T", follow, next place, list number?), None where it can't end a sentence."""
     run, at, end = m.group(), m.start(), m.end()
     before = text[at - 1] if at else " "
@@ -104,7 +150,7 @@ def _terminator(text: str, m: re.Match) -> tuple | None:
     if run.strip("…") == "" and (re.match(f"[{CJK}]", before) or re.match(f"[{CJK}]", after)):
         return None
     gap = re.compile(rf"[{BLANK}\n]*").match(text, end)
-    if "\n" in gap.group() and (b := SYMBOL.match(text, end)) and b.lastgroup == "br" and _break(text, b):
+    if "\n" in gap.group() and (b := SYMBOL.match(text, end)) and b.lastgroup == "br" and _break(text, b, width):
         return None  # the break does it
     nxt = gap.end()
     if nxt >= len(text):
@@ -155,7 +201,7 @@ def _terminator(text: str, m: re.Match) -> tuple | None:
     return None
 
 
-def symbols(text: str, lo: int, hi: int) -> list[tuple]:
+def symbols(text: str, lo: int, hi: int, width: int = 0) -> list[tuple]:
     """(place, symbol, place of the next visible character, its start class) of all symbols that begin in text[lo:hi]."""
     flat = text.translate(WIDE) if re.search("[．，：；（）]", text) else text
     out: list[tuple] = []
@@ -173,12 +219,12 @@ def symbols(text: str, lo: int, hi: int) -> list[tuple]:
         if what == "br":
             if at == lo and lo and flat[lo - 1] in "\n " + BLANK and re.search(rf"\n[{BLANK}\n]*$", flat[max(0, lo - CONTEXT) : lo]):
                 sym, nxt = ("B",), m.end()
-            elif _break(flat, m):
+            elif _break(flat, m, width):
                 sym = ("B",)
             elif at and flat[at - 1] in TERMINATORS and not re.match(rf"[a-zа-яёß]|[—–―][{BLANK}\n]*[a-zа-яё]", flat[m.end() : m.end() + 8]):
                 sym = ("W",)
         elif what == "t":
-            if got := _terminator(flat, m):
+            if got := _terminator(flat, m, width):
                 sym, nxt = ("T", got[1], got[3]), got[2]
         elif what == "da":
             sym = ("DA",)
@@ -291,13 +337,13 @@ def _rule(mode: int, kind: int, sym: tuple, start: str) -> tuple[int, bool]:
     return emit
 
 
-def run_chunk(text: str, lo: int, hi: int, base: int = 0, first: bool = False) -> tuple[list[int], list[tuple[int, int]]]:
-    """Runs text[lo:hi] from every start state (from START only, if it is the first chunk of its text).
+def run_chunk(text: str, lo: int, hi: int, base: int = 0, first: bool = False, width: int = 0) -> tuple[list[int], list[tuple[int, int]]]:
+    """Runs text[lo:hi] from every start state (from START only, if it is the first chunk of its text). width: line_width of the text.
 
     Returns the end state of each start state, and (base + place, mask of start states) of the boundaries."""
     live = {START: 1 << START} if first else {s: 1 << s for s in range(STATES)}
     events: list[tuple[int, int]] = []
-    for at, sym, nxt, start in symbols(text, lo, hi):
+    for at, sym, nxt, start in symbols(text, lo, hi, width):
         row, merged, mask = compiled(sym, start), {}, 0
         for s, starts in live.items():
             t, emits = row[s]
@@ -319,13 +365,15 @@ def sentence_starts(text: str, chunk: int = 0) -> list[int]:
     """The places of all sentences of one text; chunk > 0 cuts it into such pieces and composes their functions."""
     if not text:
         return []
+    lines = text.split("\n")
+    width = line_width(line_shape(lines), [len(x.rstrip()) for x in lines])
     if not chunk:
-        return sorted({p for p, m in run_chunk(text, 0, len(text), 0, True)[1] if m >> START & 1})
+        return sorted({p for p, m in run_chunk(text, 0, len(text), 0, True, width)[1] if m >> START & 1})
     state, out = START, set()
     for lo in range(0, len(text), chunk):
         left = max(0, lo - CONTEXT)
         piece = text[left : lo + chunk + CONTEXT]
-        ends, events = run_chunk(piece, lo - left, min(lo - left + chunk, len(piece)), left, lo == 0)
+        ends, events = run_chunk(piece, lo - left, min(lo - left + chunk, len(piece)), left, lo == 0, width)
         out.update(p for p, m in events if m >> state & 1)
         state = ends[state]
     return sorted(out)

@@ -86,3 +86,49 @@ def test_tokens(spark):
     got = sorted(r.start_at for r in sentences.token_sentences(df).collect())
     assert got == [10_000 + 4 * k for k in range(1500)]
     assert sentences.token_sentences(df.where("file_id = 'g'")).count() == 0
+
+
+LONG = (
+    "В пятницу вечером старый смотритель маяка Ефим Петрович Загорский увидел за туманом корабль капитана Дорна, который вёз из Риги книги для школы Ольги Марковны, письма для Веры Ильиничны Соколовой "
+    "и несколько ящиков чая из Мадраса, а команда пела песни Шуберта и смотрела на огни Пскова. Утром пошёл дождь. Потом в гавань пришли Анна и Пётр, и смотритель рассказал им про Дорна, Ригу и книги Ольги Марковны."
+)
+
+
+@pytest.mark.parametrize("width", [30, 40, 46, 55, 64, 70, 84, 90, 100, 120])
+@pytest.mark.parametrize("full", [True, False])
+def test_wrapped_anywhere(width, full):
+    """The same sentences however wide the lines are, filled as far as they go or broken at the first blank beyond the width."""
+    lines, line = [], ""
+    for word in LONG.split():
+        if line and (len(line) + 1 + len(word) > width if full else len(line) >= width):
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}".strip()
+    got = cut("\n".join([*lines, line]))
+    assert [" ".join(x.split()) for x in got] == [" ".join(x.split()) for x in cut(LONG)]
+
+
+def test_lines_that_are_not_wrapped():
+    """Lines of their own stay sentences of their own."""
+    rng = random.Random(5)
+    lines = [" ".join(["Строка", *("слово" for _ in range(rng.randint(1, 40)))]) for _ in range(30)]
+    assert len(cut("\n".join(lines))) == 30
+
+
+def test_texts_of_one_record(spark):
+    """Each of two texts of a record is cut at its own boundaries; copies count once."""
+    d = spark.createDataFrame([("a", "One two three four. Five six."), ("a", "One two three four. Five six."), ("a", "One. Two three four five."), ("b", None), ("c", " ")], "file_id string, content string")
+    got = sorted([s["text"] for s in r.sentences] for r in sentences.sentence_texts(d, "file_id", "content").collect())
+    assert got == [["One two three four.", "Five six."], ["One.", "Two three four five."]]
+
+
+def test_width_in_the_operator(spark):
+    """The operator takes a text's width from its lines as sentence_starts does."""
+    text = "\n".join(LONG[i : i + 60] for i in range(0, len(LONG), 60))
+    wrapped = "Заглавие\n\n" + __import__("textwrap").fill(LONG * 40, 64)
+    d = spark.createDataFrame([("a", text), ("b", wrapped), ("c", LONG)], "file_id string, content string")
+    got = {}
+    for r in sentences.text_sentences(d, "file_id", "content").collect():
+        got.setdefault(r.record, []).append(r.start_at)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": sentence_starts(text), "b": sentence_starts(wrapped), "c": sentence_starts(LONG)}
