@@ -81,6 +81,32 @@ from c
 SQL["p5_found"] = f"select field, term, mark from ({SQL['p5_terms']}) where mark is not null"
 
 
+#: Words of the longest n-gram that p5_ngrams counts.
+NGRAM = 3
+
+
+@_query
+def p5_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """All n-grams of up to NGRAM words of the files, with occurrences, files and mark: (size, term, occurrences, records, mark)."""
+    src = table(spark, folder, "src", "word_id", "file_id", "word")
+    files = src.select("file_id").distinct().count()
+    return terms.marked(terms.corpus_ngrams(src, NGRAM), files)
+
+
+SQL["p5_ngrams"] = """
+with w as (select word_id, max(file_id) as file_id, max(word) as word from src where word_id is not null and file_id is not null group by word_id),
+ t as (select file_id, word as a, lead(word, 1) over o as b, lead(word, 2) over o as c from w where word is not null
+   window o as (partition by file_id order by word_id)),
+ g as (select 1 as size, a as term, file_id from t union all select 2, a || ' ' || b, file_id from t where b is not null
+   union all select 3, a || ' ' || b || ' ' || c, file_id from t where c is not null),
+ k as (select cast(size as integer) as size, term, count(*) as occurrences, count(distinct file_id) as records from g group by size, term)
+select size, term, occurrences, records,
+ case when occurrences <= 2 or records <= 1 then 'rare'
+  when records > 0.5 * (select count(distinct file_id) from src) then 'common' end as mark
+from k
+"""
+
+
 @_query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of files that belong together, by group: (sentence_id, group_id)."""

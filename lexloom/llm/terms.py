@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -22,73 +23,102 @@ _PIECE = "size int, term string, record string, occurrences long, records long"
 def suffixes(tokens: DataFrame, order: str, term: str, record: str, length: int) -> DataFrame:
     """(record, s1..s<length>): each token with the length - 1 tokens after it in its record, END where there is none.
 
-    `order` is a numeric key, unique, dense or nearly so, that grows within a record. Ranges of BLOCK keys are worked
-    on apart, each with a copy of the next range's first rows, so that no record is gathered in one task."""
+    `order` is a whole number, unique, that grows within a record; gaps don't matter. Ranges of BLOCK keys are worked on
+    apart, so that no record is gathered in one task; each is given the first tokens of the ranges of its record that
+    follow."""
     if length == 1:
         return tokens.select(F.col(record).cast("string").alias("record"), F.col(term).alias("s1"))
-    own = F.expr(f"{order} div {BLOCK}")
-    before = F.when(F.expr(f"{order} % {BLOCK}") < length, own - 1)
-    rows = tokens.select(
-        F.col(record).cast("string").alias("record"),
-        F.col(term).alias("term"),
-        F.col(order).alias("at"),
-        own.alias("own"),
-        F.explode(F.array_compact(F.array(own, before))).alias("block"),
-    )
+    rows = tokens.select(F.col(record).cast("string").alias("record"), F.expr(f"floor({order} / {BLOCK})").alias("block"), F.col(order).alias("at"), F.col(term).alias("term"))
     w = Window.partitionBy("record", "block").orderBy("at")
+    first = rows.withColumn("no", F.row_number().over(w)).where(F.col("no") < length)
+    heads = first.groupBy("record", "block").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("head"))
+    # One row for each range of a record; as none is empty, length - 1 of them hold all tokens that are needed.
+    later = Window.partitionBy("record").orderBy("block")
+    none = F.array().cast(heads.schema["head"].dataType)
+    more = F.slice(F.concat(*[F.coalesce(F.lead("head", k).over(later), none) for k in range(1, length)]), 1, length - 1)
+    extra = heads.select("record", "block", more.alias("more")).select("record", "block", F.inline("more"))
+    every = rows.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
     nexts = [F.coalesce(F.lead("term", k).over(w), F.lit(END)).alias(f"s{k + 1}") for k in range(length)]
-    return rows.select("record", "own", "block", *nexts).where("own = block").drop("own", "block")
+    return every.select("record", "own", *nexts).where("own").drop("own")
 
 
-def _piece(size: int, table: pa.Table, record: bool) -> pa.RecordBatch:
-    rows = table.num_rows
+def _piece(size: int, term: pa.Array, record: pa.Array | None, occurrences: np.ndarray, records: np.ndarray | None) -> pa.RecordBatch:
+    rows = len(term)
     return pa.RecordBatch.from_arrays(
         [
             pa.repeat(pa.scalar(size, pa.int32()), rows),
-            table["term"].combine_chunks(),
-            table["record"].combine_chunks() if record else pa.nulls(rows, pa.string()),
-            table["n_sum" if record else "n_sum_sum"].combine_chunks().cast(pa.int64()),
-            pa.nulls(rows, pa.int64()) if record else table["record_count"].combine_chunks().cast(pa.int64()),
+            term,
+            pa.nulls(rows, pa.string()) if record is None else record,
+            pa.array(occurrences, pa.int64()),
+            pa.nulls(rows, pa.int64()) if records is None else pa.array(records, pa.int64()),
         ],
         names=["size", "term", "record", "occurrences", "records"],
     )
 
 
+def common_prefixes(codes: list[np.ndarray]) -> np.ndarray:
+    """Of sorted suffixes, given as one array of token codes for each place: how many tokens each has in common with the one before."""
+    out = np.zeros(len(codes[0]), np.int64)
+    same = np.ones(max(0, len(out) - 1), bool)
+    for c in codes:
+        same = same & (c[1:] == c[:-1])
+        out[1:] += same
+    return out
+
+
+def duplicate_links(records: np.ndarray) -> np.ndarray:
+    """Of sorted suffixes: the place of the last one before of the same record, -1 if none. -1 among the records is no record."""
+    order = np.argsort(records, kind="stable")
+    out = np.full(len(records), -1, np.int64)
+    same = records[order[1:]] == records[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def _intervals(length: int):
     """Over sorted suffixes (s1.., record, n): for each depth the common-prefix intervals, their occurrences and records.
 
-    The common prefix with the row before is as long as their first tokens are equal; where it is shorter than the
-    depth an interval begins. Its occurrences are the sum of n; its records are its suffixes less those that repeat a
-    record, which stand side by side once the interval is sorted by record. An interval at a batch's edge may go on
-    elsewhere: at full depth suffix and record never come twice, so its parts just add up; at a lower depth its
-    distinct records come out one by one and are counted after the parts are put together."""
+    Where the common prefix with the suffix before is shorter than the depth, an interval begins. Its occurrences are its
+    suffixes; its records are its occurrences less its duplicate adjacencies: suffixes whose last one of the same record
+    stands in the same interval (equal suffixes of a record come as one row that counts n, n - 1 of them duplicates). An
+    interval at a batch's edge may go on elsewhere: at full depth suffix and record never come twice, so its parts just
+    add up; at a lower depth its records come out one by one and are counted after the parts are put together."""
     names = [f"s{k + 1}" for k in range(length)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, same = pa.Table.from_batches([batch]), None
-            rows = t.num_rows
-            for depth in range(1, length + 1 if rows else 0):
-                c = t[names[depth - 1]].combine_chunks()
-                equal = pc.equal(c.slice(1), c.slice(0, rows - 1))
-                same = equal if same is None else pc.and_(same, equal)
-                no = pc.cumulative_sum(pa.concat_arrays([pa.array([0], pa.int64()), pc.invert(same).cast(pa.int64())]))
-                last = no[rows - 1].as_py()
-                term = c if depth == 1 else pc.binary_join_element_wise(*[t[x].combine_chunks() for x in names[:depth]], " ")
-                own = pa.table({"no": no, "term": term, "record": t["record"], "n": t["n"]})
+            rows = batch.num_rows
+            if not rows:
+                continue
+            code = lambda c: np.asarray(pc.fill_null(pc.dictionary_encode(c).indices, -1))
+            tokens = [batch.column(name) for name in names]
+            codes = [code(c) for c in tokens]
+            record, n = code(batch.column("record")), np.asarray(batch.column("n"))
+            prefix, link = common_prefixes(codes), duplicate_links(record)
+            for depth in range(1, length + 1):
+                begin = prefix < depth
+                begin[0] = True
+                starts, no = np.flatnonzero(begin), np.cumsum(begin) - 1
+                held = np.ones(len(starts), bool)
                 if depth > 1:  # shorter suffixes have no prefix of this length
-                    own = own.filter(pc.not_equal(c, END))
-                pairs = own.group_by(["no", "term", "record"], use_threads=False).aggregate([("n", "sum")])
+                    held = np.asarray(pc.not_equal(tokens[depth - 1].take(pa.array(starts)), END))
+                repeats = n - 1 + np.where(record < 0, 1, (link >= 0) & (no[link] == no))
+                occurrences, duplicates = np.add.reduceat(n, starts), np.add.reduceat(repeats, starts)
                 if depth < length:
-                    edge = pc.or_(pc.equal(pairs["no"], 0), pc.equal(pairs["no"], last))
-                    yield _piece(depth, pairs.filter(edge), True)
-                    pairs = pairs.filter(pc.invert(edge))
-                whole = pairs.group_by(["no", "term"], use_threads=False).aggregate([("n_sum", "sum"), ("record", "count")])
-                yield _piece(depth, whole, False)
+                    edge = np.flatnonzero(((no == 0) | (no == no[-1])) & held[no])
+                    yield _piece(depth, _joined(tokens[:depth], edge), batch.column("record").take(pa.array(edge)), n[edge], None)
+                    held[[0, -1]] = False
+                whole = starts[held]
+                yield _piece(depth, _joined(tokens[:depth], whole), None, occurrences[held], (occurrences - duplicates)[held])
 
     return run
 
 
+def _joined(tokens: list[pa.Array], rows: np.ndarray) -> pa.Array:
+    taken = [c.take(pa.array(rows)) for c in tokens]
+    return taken[0] if len(taken) == 1 else pc.binary_join_element_wise(*taken, " ")
+
+
 def term_counts(tokens: DataFrame, order: str, term: str, record: str, length: int = 1) -> DataFrame:
     """(size, term, occurrences, records) of all n-grams of 1..length tokens, exactly as written, joined by ' '.
 
@@ -153,3 +183,11 @@ def marked(counts: DataFrame, records: int, rare: int = 2, common: float = 0.5)
     `records`), else null."""
     low = (F.col("occurrences") <= rare) | (F.col("records") <= 1)
     return counts.withColumn("mark", F.when(low, "rare").when(F.col("records") > common * records, "common"))
+
+
+def corpus_ngrams(tokens: DataFrame, length: int) -> DataFrame:
+    """(size, term, occurrences, records): all n-grams of 1..length words of the files of `tokens` (word_id, file_id, word),
+    the words joined by a blank. One occurrence per distinct word_id; nulls are left out, so their neighbours meet. A file
+    is followed in the order of word_id, wherever its rows stand."""
+    met = tokens.where("word_id is not null and file_id is not null").groupBy("word_id").agg(F.max("file_id").alias("file_id"), F.max("word").alias("word"))
+    return term_counts(met, "word_id", "word", "file_id", length)

@@ -52,3 +52,30 @@ def test_corpus_terms(spark):
     marks = {(r.field, r.term, r.mark) for r in terms.marked(terms.corpus_terms(src, forms), 2).collect()}
     assert ("word", "a", "common") in marks and ("normal_form", "A", "rare") in marks
     assert terms.corpus_terms(src.limit(0), forms.limit(0)).count() == 0
+
+
+def test_gaps_and_ranges(spark, monkeypatch):
+    """N-grams go on over gaps in the keys and over any number of ranges; a record that comes back later goes on too."""
+    monkeypatch.setattr(terms, "BLOCK", 4)
+    rng = random.Random(9)
+    at, rows = 0, []
+    for i in range(400):
+        at += rng.choice([1, 1, 1, 2, 9, 40])
+        rows.append((at, f"f{(i // 23) % 5}", rng.choice("abc") if rng.random() > 0.1 else None))
+    got = {tuple(r) for r in terms.term_counts(spark.createDataFrame(rows, "at long, file string, w string"), "at", "w", "file", 4).select("size", "term", "occurrences", "records").collect()}
+    assert got == brute(rows, 4)
+
+
+def test_records_by_duplicate_adjacencies():
+    """Common prefixes and links of sorted suffixes as one finds them by hand."""
+    import numpy as np
+
+    assert terms.common_prefixes([np.array([1, 1, 1, 2]), np.array([5, 5, 6, 6])]).tolist() == [0, 2, 1, 0]
+    assert terms.duplicate_links(np.array([3, 1, 3, 3, 1])).tolist() == [-1, -1, 0, 2, 1]
+
+
+def test_no_record(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "f", "a"), (4, "f", "")], "at long, file string, w string")
+    got = {tuple(r) for r in terms.term_counts(df, "at", "w", "file", 1).select("size", "term", "occurrences", "records").collect()}
+    assert got == {(1, "a", 3, 1), (1, "", 1, 1)}
+    assert terms.corpus_ngrams(df.limit(0).toDF("word_id", "file_id", "word"), 3).count() == 0
