@@ -17,6 +17,8 @@ SECTIONS = ("avtor", "author", "authors", "book", "books", "collection", "collec
 
 #: One in SEED_SHARE nodes seeds a search; ROUNDS hops are searched before what is left seeds itself.
 SEED_SHARE, ROUNDS = 4, 2
+#: A key is hot if it holds more than HOT rows and more than one in SHARES of all; so there are at most SHARES hot keys.
+HOT, SHARES = 50_000, 4096
 
 
 def _squeezed(c: Column) -> Column:
@@ -41,30 +43,48 @@ def link_key(c: Column) -> Column:
     return F.when(~k.isin(*PLACEHOLDERS, *SECTIONS) & ~last.isin(*PLACEHOLDERS), k)
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key): the hot ones of counts (key, n), at most SHARES; None if there can be none among so many rows."""
+    return cut(counts.where(F.col("n") > max(HOT, total // SHARES)).select(key)) if total > HOT else None
+
+
+def meet(rows: DataFrame, key: str, side: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with side by key (side has one row for each): the rows of hot keys stay where they are and are sent the
+    side's rows of those keys, at most SHARES; all others meet by the key's hash."""
+    if hot is None:
+        return rows.join(side, key)
+    # SHARES rows at most in each broadcast.
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(side, key)
+    return rest.unionByName(rows.join(F.broadcast(side.join(F.broadcast(hot), key, "left_semi")), key).select(*rest.columns))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the connected components of an undirected graph; component = smallest seed label in it.
 
     nodes (node), edges (a, b), both strings; repeated rows, edges to oneself and edges to what is no node don't
     matter; a node without edges is its own component; null nodes are left out. Frontier search from many seeds at
-    once over edges partitioned by node: each reached node keeps the smallest label that reached it; what no seed
-    reaches in ROUNDS hops seeds itself. Edges whose ends have different labels make the small graph of labels, which
-    is merged by stars (each label's neighbours move to its smallest neighbour), a number of rounds in the order of
-    the logarithm of its size. No list of neighbours and no component is ever held in one place."""
+    once over adjacency lists hash-partitioned by (node, neighbour), so that those of a hub are many: each reached node
+    keeps the smallest label that reached it; what no seed reaches in ROUNDS hops seeds itself. Edges whose ends have
+    different labels make the small graph of labels, which is merged by stars (each label's neighbours move to its
+    smallest neighbour), a number of rounds in the order of the logarithm of its size. No list of neighbours and no
+    component is ever held in one place: hubs meet their labels as `meet` says."""
     own = nodes.select("node").where("node is not null").distinct()
     both = edges.select("a", "b").where("a != b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = cut(both.join(own.withColumnRenamed("node", "a"), "a", "left_semi").join(own.withColumnRenamed("node", "b"), "b", "left_semi").repartition("a"))
+    # Ends that are no nodes fall out where labels meet.
+    both = cut(both)
+    hubs = hot_keys(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", both.count())
     seeded = F.pmod(F.xxhash64("node"), F.lit(SEED_SHARE)) == 0
     labels = own.select("node", F.when(seeded, F.col("node")).alias("label"))
     frontier = labels.where("label is not null")
     for _ in range(ROUNDS):
-        reached = both.join(frontier.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("reached"))
+        reached = meet(both, "a", frontier.withColumnRenamed("node", "a"), hubs).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("reached"))
         met = labels.join(reached, "node", "left")
         frontier = met.where("label is null and reached is not null").select("node", F.col("reached").alias("label"))
         labels = met.select("node", F.coalesce("label", "reached").alias("label"))
     labels = cut(labels.select("node", F.coalesce("label", "node").alias("label")))
-    small = (
-        both.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la > lb").select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
-    )
+    ends = meet(both.where("a > b"), "a", labels.toDF("a", "la"), hubs)
+    ends = meet(ends, "b", labels.toDF("b", "lb"), hubs.toDF("b") if hubs is not None else None)
+    small = ends.where("la != lb").select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).distinct()
     roots = _stars(small)
     return labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("component"))
 
@@ -74,12 +94,14 @@ def _stars(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     mark = _mark(edges)
     while True:
+        total = 2 * mark[0]
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        large = meet(sym, "u", least.select("u", F.least("u", "m").alias("m")), hot_keys(least, "u", total))
+        large = large.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every edge now goes down, to a smaller label.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = meet(large, "u", low.select("u", "m"), hot_keys(low, "u", total))
         down = moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(down)
         last, mark = mark, _mark(edges)
@@ -114,16 +136,21 @@ def file_groups(toc: DataFrame, relation: DataFrame) -> DataFrame:
     return found.join(sizes, "component").select("file_id", "component", "files")
 
 
+def file_sentences(tokens: DataFrame) -> DataFrame:
+    """(file_id, sentence_id), each once, null sentences left out; written once, as it is read several times."""
+    return cut(tokens.select("file_id", "sentence_id").where("sentence_id is not null").distinct())
+
+
 def grouped_sentences(tokens: DataFrame, toc: DataFrame, relation: DataFrame) -> DataFrame:
     """(sentence_id, group_id) of every sentence in a file that belongs with another one; group_id = the group's
     smallest sentence_id. Null sentence ids and files that toc doesn't list are left out."""
     groups = file_groups(toc, relation).where("files > 1")
-    sentences = tokens.select("file_id", "sentence_id").where("sentence_id is not null").distinct()
-    firsts = sentences.groupBy("file_id").agg(F.min("sentence_id").alias("first"))
-    held = groups.join(firsts, "file_id")
+    sentences = file_sentences(tokens)
+    files = cut(sentences.groupBy("file_id").agg(F.min("sentence_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    held = groups.join(files, "file_id")
     ids = held.groupBy("component").agg(F.min("first").alias("group_id"))
     by_file = held.select("file_id", "component").join(ids, "component").select("file_id", "group_id")
-    return sentences.join(by_file, "file_id").select("sentence_id", "group_id").distinct()
+    return meet(sentences, "file_id", by_file, hot_keys(files, "file_id", sentences.count())).select("sentence_id", "group_id").distinct()
 
 
 def split_groups(groups: DataFrame, targets: list[tuple[str, float]], large: float = 0.01) -> DataFrame:
@@ -164,11 +191,11 @@ def sentence_splits(tokens: DataFrame, toc: DataFrame, relation: DataFrame, targ
     """(sentence_id, split): every sentence, its group's split. A file that toc doesn't list is a group of its own.
 
     targets: split, target_share; a handful of rows (they come to the driver), repeated rows count once."""
-    sentences = tokens.select("file_id", "sentence_id").where("sentence_id is not null").distinct()
+    sentences = file_sentences(tokens)
     groups = file_groups(toc, relation)
     sizes = sentences.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     files = cut(sizes.join(groups, "file_id", "left").select("file_id", "n", F.coalesce("component", F.concat(F.lit("file:"), "file_id")).alias("component")))
     shares = [(r.split, r.target_share) for r in targets.select("split", "target_share").where("split is not null").distinct().collect()]
     splits = split_groups(files.groupBy("component").agg(F.sum("n").alias("weight")), shares)
     by_file = files.select("file_id", "component").join(splits, "component").select("file_id", "split")
-    return sentences.join(by_file, "file_id").groupBy("sentence_id").agg(F.min("split").alias("split"))
+    return meet(sentences, "file_id", by_file, hot_keys(files, "file_id", sentences.count())).groupBy("sentence_id").agg(F.min("split").alias("split"))

@@ -115,6 +115,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _p3_sql() -> str:
+    """The same groups by following edges from every file until nothing new is reached."""
+    quoted = lambda words: ", ".join("'" + w + "'" for w in words)
+    nothing, sections = quoted(groups.PLACEHOLDERS), quoted(groups.SECTIONS)
+    blanks = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]+"
+    squeezed = f"""trim(regexp_replace(lower(regexp_replace(x, '[«»"“”„‟''‘’‹›`]', '', 'g')), '{blanks}', ' ', 'g'))"""
+    return f"""
+with recursive named as (
+  select file_id, 'author_url' as tag, tags['author_url'] as x from toc union all select file_id, 'collection_url', tags['collection_url'] from toc
+  union all select file_id, 'fandom', tags['fandom'] from toc),
+ squeezed as (select file_id, tag, {squeezed} as k from named where x is not null),
+ bare as (select file_id, tag, case when tag = 'fandom' then k else regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+   k, '[?#].*$', ''), '^([a-z][a-z0-9+.-]*:)?//[^/]*', ''), '^[a-z0-9-]+(\\.[a-z0-9-]+)+(:\\d+)?/', ''), '/+', '/', 'g'), '^[/ ]+|[/ ]+$', '', 'g') end as k from squeezed),
+ valued as (select file_id, tag || ':' || k as v from bare where k not in ({nothing}) and (tag = 'fandom' or k not in ({sections}) and split_part(k, '/', -1) not in ({nothing}))),
+ files as (select distinct file_id from toc where file_id is not null),
+ edges as (select a.file_id as a, b.file_id as b from valued a join valued b using (v) union select file_1, file_2 from relation union select file_2, file_1 from relation),
+ own as (select distinct a, b from edges where a in (select file_id from files) and b in (select file_id from files)),
+ reached as (select file_id as a, file_id as b from files union select r.a, o.b from reached r join own o on o.a = r.b),
+ sentences as (select distinct file_id, sentence_id from src where sentence_id is not null),
+ firsts as (select file_id, min(sentence_id) as first from sentences group by file_id),
+ grouped as (select r.a as file_id, count(*) as files, min(f.first) as group_id from reached r left join firsts f on f.file_id = r.b group by r.a)
+select distinct sentence_id, group_id from sentences join grouped using (file_id) where files > 1
+"""
+
+
+SQL["p3_found"] = _p3_sql()
+
+
 @_query
 def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     """The split of every sentence: (sentence_id, split)."""

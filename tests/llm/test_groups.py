@@ -85,3 +85,23 @@ def test_split_shares(spark):
     total = sum(r.w for r in s)
     share = {r.split: r.w / total for r in s}
     assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01 and abs(share["display"] - 0.1) < 0.01
+
+
+def test_hubs(spark, monkeypatch):
+    """Nodes whose neighbours are split off as hot give the same components, in the search and in the merging of labels."""
+    monkeypatch.setattr(groups, "HOT", 10)
+    monkeypatch.setattr(groups, "SHARES", 8)
+    rng = random.Random(11)
+    nodes = [f"n{i:03}" for i in range(300)]
+    edges = [("n007", f"n{i:03}") for i in range(0, 200, 2)] + [("n250", f"n{i:03}") for i in range(201, 260)] + [(rng.choice(nodes), rng.choice(nodes)) for _ in range(20)]
+    assert found(spark, nodes, edges) == union_find(nodes, edges)
+
+
+def test_hot_file(spark, monkeypatch):
+    """A file that holds most sentences, split off as hot, gives the same groups and splits."""
+    toc, relation = tables(spark)[1:]
+    tokens = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 200 + i) for i in range(5)] + [("d", 300), ("e", 400), ("f", 500), (None, 600)], "file_id string, sentence_id long")
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split string, target_share double")
+    plain = [sorted(map(tuple, x.collect())) for x in (groups.grouped_sentences(tokens, toc, relation), groups.sentence_splits(tokens, toc, relation, targets))]
+    monkeypatch.setattr(groups, "HOT", 10)
+    assert plain == [sorted(map(tuple, x.collect())) for x in (groups.grouped_sentences(tokens, toc, relation), groups.sentence_splits(tokens, toc, relation, targets))]
