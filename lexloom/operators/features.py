@@ -95,9 +95,12 @@ def capitalization(src: DataFrame, forms: DataFrame) -> DataFrame:
 
 def local_frequency(src: DataFrame, forms: DataFrame) -> DataFrame:
     """The share of a word's normal form among the words of its file."""
-    base = src.join(forms.select("word_id", "normal_form").dropDuplicates(["word_id"]), "word_id").where("normal_form is not null")
-    lemma, file = Window.partitionBy("file_id", "normal_form"), Window.partitionBy("file_id")
-    return base.select(*KEY, "normal_form", (F.count(F.lit(1)).over(lemma) / F.count(F.lit(1)).over(file)).alias("local_freq"))
+    base = src.select(*KEY).join(forms.select("word_id", "normal_form").dropDuplicates(["word_id"]), "word_id").where("normal_form is not null")
+    # Counts first, so that no file is one task.
+    lemmas = base.groupBy("file_id", "normal_form").agg(F.count(F.lit(1)).alias("n"))
+    whole = lemmas.groupBy("file_id").agg(F.sum("n").alias("all"))
+    shares = lemmas.join(whole, "file_id").select("file_id", "normal_form", (F.col("n") / F.col("all")).alias("local_freq"))
+    return base.join(shares, ["file_id", "normal_form"]).select(*KEY, "normal_form", "local_freq")
 
 
 def frequencies(forms: DataFrame, dictionary: DataFrame) -> DataFrame:

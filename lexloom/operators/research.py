@@ -112,9 +112,9 @@ def cooccurrence(words: DataFrame, reach: int = 15, weighted: bool = False) -> D
 
 
 def not_first_mention(rows: DataFrame, category: str) -> DataFrame:
-    """Rows that are not the first of their category in the file."""
-    first = F.min("word_id").over(Window.partitionBy("file_id", category))
-    return rows.withColumn("_f", first).where("word_id != _f").drop("_f")
+    """Rows that are not the first of their category in the file; rows without a category are left out."""
+    first = rows.groupBy("file_id", category).agg(F.min("word_id").alias("word_id"))
+    return rows.join(first.select("file_id", "word_id"), ["file_id", "word_id"], "left_anti").where(F.col(category).isNotNull())
 
 
 def candidate_recall(candidates: DataFrame, match: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,10 +166,18 @@ def index(tokens: DataFrame, label: Column, reference: str, shares: tuple[int, i
 
 
 def stratified(rows: DataFrame, strata: Sequence[str], key: str, shares: tuple[float, float] = (0.8, 0.9), seed: int = 0) -> DataFrame:
-    """Splits each stratum in the same shares, by rank of hash."""
-    w = Window.partitionBy(*strata)
-    place = (F.row_number().over(w.orderBy(hash_order(key, seed=seed), key)) - 1) / F.count(F.lit(1)).over(w)
-    return rows.withColumn("_p", place).withColumn("split", F.when(F.col("_p") < shares[0], "train").when(F.col("_p") < shares[1], "display").otherwise("test")).drop("_p")
+    """Splits each stratum in the same shares, by rank of hash. Ranks go in two levels, over ranges of the hash and inside
+    each, so that no stratum is one task."""
+    h = rows.withColumn("_h", hash_order(key, seed=seed)).withColumn("_r", F.substring("_h", 1, 3))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in strata]
+    # 4096 rows at most of each stratum.
+    counts = h.groupBy(*strata, "_r").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*strata)
+    before = counts.select(*strata, "_r", (F.sum("_c").over(whole.orderBy("_r")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_all"))
+    inside = h.withColumn("_n", F.row_number().over(Window.partitionBy(*strata, "_r").orderBy("_h", key)) - 1)
+    met = inside.alias("a").join(before.alias("b"), reduce(lambda x, y: x & y, same, F.col("a._r") == F.col("b._r")))
+    placed = met.select(*[F.col(f"a.{c}").alias(c) for c in rows.columns], ((F.col("b._before") + F.col("a._n")) / F.col("b._all")).alias("_p"))
+    return placed.withColumn("split", F.when(F.col("_p") < shares[0], "train").when(F.col("_p") < shares[1], "display").otherwise("test")).drop("_p")
 
 
 def folds(rows: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .packing import packs
 
+#: Word ids in a block of text that is put together in one place.
+TEXT_BLOCK = 4096
 ID_COLUMNS = ("word_id", "sentence_id", "paragraph_id")
 TOKENS = T.StructType(
     [
@@ -115,26 +118,23 @@ def global_ids(tokens: DataFrame, key: str, span: int = 10_000) -> DataFrame:
 def packed(tokens: DataFrame, key: str, words_per_frame: int) -> DataFrame:
     """(key, sentence_id, frame): sentences packed greedily into frames of fewer than `words_per_frame` words.
 
-    A frame never spans records; a sentence of that many words or more is a frame of its own. The carry restarts, so
-    this is a fold over a record's sentence lengths (a list of (id, length), not its tokens)."""
-    lengths = tokens.where("sentence_id is not null").groupBy(key, "sentence_id").agg(F.count(F.lit(1)).cast("int").alias("len"))
-    lists = lengths.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sentence_id", "len"))).alias("s"))
-    fold = f"""
-        aggregate(s, struct(cast(0 as int) as frame, cast(0 as int) as words, cast(array() as array<struct<sentence_id:bigint,frame:int>>) as out),
-          (a, x) -> if(a.words > 0 and a.words + x.len >= {words_per_frame},
-            struct(a.frame + 1 as frame, x.len as words, concat(a.out, array(struct(x.sentence_id as sentence_id, a.frame + 1 as frame))) as out),
-            struct(a.frame as frame, a.words + x.len as words, concat(a.out, array(struct(x.sentence_id as sentence_id, a.frame as frame))) as out)),
-          a -> a.out)"""
-    return lists.select(key, F.expr(f"inline({fold})"))
+    A frame never spans records; a sentence of that many words or more is a frame of its own. Sentences of one record
+    are packed in parallel (see packing)."""
+    lengths = tokens.where("sentence_id is not null").groupBy(key, "sentence_id").agg(F.count(F.lit(1)).alias("len"))
+    return packs(lengths, key, "sentence_id", "len", words_per_frame).withColumnRenamed("pack", "frame")
 
 
 def to_text(tokens: DataFrame, key: str) -> DataFrame:
     """(key, text): tokens with their blanks; paragraphs that follow one another are parted by one line break."""
     piece = F.concat(F.col("word"), F.repeat(F.lit(" "), F.col("word_tail")))
-    lag = F.lag("paragraph_id").over(Window.partitionBy(key).orderBy("word_id"))
-    broken = tokens.withColumn("piece", F.concat(F.when(lag != F.col("paragraph_id"), "\n").otherwise(""), piece))
-    lists = broken.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("word_id", "piece"))).alias("l"))
-    return lists.select(key, F.array_join(F.transform("l", lambda x: x["piece"]), "").alias("text"))
+    own = tokens.select(key, F.expr(f"floor(word_id / {TEXT_BLOCK})").alias("block"), F.struct("word_id", F.col("paragraph_id").alias("p"), piece.alias("t")).alias("x"))
+    lists = own.groupBy(key, "block").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    # A block of word ids becomes one string; a line break stands before a piece that begins another paragraph.
+    inner = "array_join(transform(l, (x, i) -> concat(if(i > 0 and x.p != l[i - 1].p, '\\n', ''), x.t)), '')"
+    parts = lists.select(key, F.struct("block", F.expr("l[0].p").alias("first"), F.expr("element_at(l, -1).p").alias("last"), F.expr("l[0].t is not null").alias("shown"), F.expr(inner).alias("t")).alias("b"))
+    whole = parts.groupBy(key).agg(F.sort_array(F.collect_list("b")).alias("bs"))
+    outer = "array_join(transform(bs, (x, i) -> concat(if(i > 0 and x.shown and x.first != bs[i - 1].last, '\\n', ''), x.t)), '')"
+    return whole.select(key, F.expr(outer).alias("text"))
 
 
 def sentence_strings(tokens: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -240,9 +240,10 @@ def markdown_blocks(spark, folder):
     return formats.parse_markdown(d, ["doc"])
 
 
-@query("""with d as (select doc_id, coalesce(lang, '?') as lang, length(text) as n from documents where text is not null),
-a as (select *, sum(n) over (partition by lang order by doc_id) - n as before from d)
-select lang, cast(floor(before / 5000.0) as int) as pack, sum(n) + 2 * (count(*) - 1) as size from a group by all""")
+@query("""with recursive d as (select doc_id, coalesce(lang, '?') as lang, length(text) as len, row_number() over (partition by coalesce(lang, '?') order by doc_id) as n from documents where text is not null),
+f as (select lang, n, len, len as held, 0 as pack from d where n = 1
+ union all select d.lang, d.n, d.len, case when f.held >= 5000 then d.len else f.held + d.len end, case when f.held >= 5000 then f.pack + 1 else f.pack end from f join d on d.lang = f.lang and d.n = f.n + 1)
+select lang, pack, sum(len) + 2 * (count(*) - 1) as size from f group by lang, pack""")
 def packed_documents(spark, folder):
     d = table(spark, folder, "documents", "doc_id", "lang", "text").where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("?")))
     return formats.packed_texts(d, ["lang"], "doc_id", "text", 5000).select("lang", "pack", F.length("text").cast("long").alias("size"))

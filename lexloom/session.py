@@ -17,10 +17,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests on one machine) a local one is made."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a session on one machine that names none (tests)
+    gets a local one; elsewhere that is an error, as no other executor could read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +51,7 @@ def local_session(app: str = "lexloom", cores: int | str = "*", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)

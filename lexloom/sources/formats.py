@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import APOSTROPHES
+from ..operators.packing import packs
 from ..operators.tokens import tokenize
 
 _APOSTROPHE = re.compile(f"(?<=[а-яА-ЯёЁ])[{APOSTROPHES}](?=[а-яА-ЯёЁ])")
@@ -290,12 +291,12 @@ def without_brackets(text: Column) -> Column:
 
 
 def packed_texts(df: DataFrame, group: Sequence[str], order: str, text: str, size: int) -> DataFrame:
-    """(group, pack, text): texts joined to packs of about `size` characters; a pack closes when it reaches the size. The
-    last, partial one is kept. By running length, so no fold is needed: pack = running characters before, in sizes."""
-    w = Window.partitionBy(*group).orderBy(order)
-    n = F.length(text)
-    at = df.withColumn("pack", ((F.sum(n).over(w) - n) / size).cast("int"))
-    return at.groupBy(*group, "pack").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda x: x["_t"]), "\n\n").alias(text))
+    """(group, pack, text): texts joined greedily to packs; a pack closes with the text that takes it to `size` characters. The
+    last, partial one is kept. `order` is unique; a group is packed in parallel (see packing)."""
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    held = df.select(*group, order, text, key.alias("_key"), F.length(text).alias("_n"))
+    placed = packs(held, "_key", order, "_n", size, over=True)
+    return held.join(placed, ["_key", order]).groupBy(*group, "pack").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda x: x["_t"]), "\n\n").alias(text))
 
 
 def entity_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
