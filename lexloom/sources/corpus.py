@@ -19,6 +19,10 @@ from ..operators import tokens as TK
 from ..operators.relational import numbered
 
 RELATION = "file_1 string, file_2 string, relation_name string"
+#: Rows of a bucket, and buckets at least; their number is a power of 2, so that it can be told from a file's hash whatever it is.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 5_000_000, 64, 1 << 20
+#: Columns that a token table must have to be read as one.
+NEEDED = {"file_id": "string", "word_id": "bigint", "sentence_id": "bigint", "paragraph_id": "bigint", "word": "string", "word_tail": "int", "word_type": "string"}
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,12 @@ class Bundle:
         return Bundle(self.frames | frames, self.info)
 
 
+def bucket_name(count: Column | str) -> Column:
+    """The bucket of a file among so many: <count>-<number>."""
+    n = F.col(count) if isinstance(count, str) else count
+    return F.concat(n.cast("string"), F.lit("-"), F.pmod(F.xxhash64("file_id"), n).cast("string"))
+
+
 def toc_of(src: DataFrame, timestamp: Column | None = None) -> DataFrame:
     """One row per file of a token table (file_id, filename): counts, part_index within the filename, ordinal, max_id."""
     stats = src.groupBy("file_id", "filename").agg(
@@ -73,7 +83,13 @@ class Corpus:
         return out
 
     def src(self, uids: Sequence[str] | DataFrame | None = None) -> DataFrame:
-        return self._filtered(self.spark.read.parquet(f"{self.path}/src"), uids).withColumn("corpus_id", F.lit(self.name))
+        """The tokens of the files, with corpus_id; an error if what is there is no token table. Files without tokens have no rows."""
+        df = self.spark.read.parquet(f"{self.path}/src")
+        kinds = dict(df.dtypes)
+        wrong = [c for c, t in NEEDED.items() if kinds.get(c) != t]
+        if wrong:
+            raise ValueError(f"{self.path} holds no token table: {', '.join(wrong)} missing or of another type")
+        return self._filtered(df, uids).withColumn("corpus_id", F.lit(self.name))
 
     def frame(self, name: str, uids: Sequence[str] | DataFrame | None = None) -> DataFrame:
         return self._filtered(self.spark.read.parquet(f"{self.path}/frame={name}"), uids)
@@ -83,12 +99,20 @@ class Corpus:
             return df
         if isinstance(uids, DataFrame):
             return df.join(uids.select("file_id").distinct(), "file_id", "left_semi")
-        return df.where(F.col("file_id").isin(list(uids)))
+        # The buckets that can hold the files, whatever their number was when they were written: others are not read.
+        ids = self.spark.createDataFrame([(u,) for u in dict.fromkeys(uids)], "file_id string")
+        if "bucket" not in df.columns:
+            return df.where(F.col("file_id").isin(list(uids)))
+        counts = F.expr(f"filter(transform(sequence(0, 20), k -> {LEAST_BUCKETS} * cast(pow(2, k) as int)), n -> n <= {MOST_BUCKETS})")
+        names = ids.select(F.explode(counts).alias("n"), "file_id").select(bucket_name("n").alias("b")).distinct().collect()
+        return df.where(F.col("bucket").isin([r.b for r in names]) & F.col("file_id").isin(list(uids)))
 
-    def frame_names(self) -> list[str]:
+    def _parts(self) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        names = [s.getPath().getName() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
-        return sorted(n[6:] for n in names if n.startswith("frame="))
+        return sorted(s.getPath().getName() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root))
+
+    def frame_names(self) -> list[str]:
+        return [n[6:] for n in self._parts() if n.startswith("frame=")]
 
     def bundle(self, uids: Sequence[str] | None = None) -> Bundle:
         """src and all frames of the files, with their rows of the table of contents."""
@@ -116,7 +140,11 @@ class Corpus:
         return self.spark.read.parquet(f"{self.path}/relation")
 
     def mapping(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/mapping")
+        """The first dataset whose name begins with mapping."""
+        names = [n for n in self._parts() if n.startswith("mapping")]
+        if not names:
+            raise ValueError(f"{self.path} holds no mapping")
+        return self.spark.read.parquet(f"{self.path}/{names[0]}")
 
     def subcorpus(self, name: str) -> DataFrame:
         """src of the files whose subcorpus_name is this; an error that lists the names if there are none."""
@@ -140,10 +168,19 @@ class Corpus:
     # Writing
 
     def _write(self, df: DataFrame, part: str, mode: str, buckets: int | None = None) -> None:
-        w = df.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket") if buckets else df.write
-        w.mode(mode).parquet(f"{self.path}/{part}")
-
-    def write(self, src: DataFrame, tags: DataFrame | None = None, mode: str = "errorifexists", span: int = 10_000, buckets: int = 64, subcorpus: str | None = None) -> None:
+        """With buckets: by bucket, each spread by its rows' place over as many tasks as it has shares of BUCKET_ROWS, so that
+        neither a large bucket nor a large file is one task. buckets = 0: as many as the rows ask for."""
+        if buckets is None:
+            return df.write.mode(mode).parquet(f"{self.path}/{part}")
+        rows = df.count()
+        while buckets < LEAST_BUCKETS or buckets * BUCKET_ROWS < rows and buckets < MOST_BUCKETS:
+            buckets = max(LEAST_BUCKETS, 2 * buckets)
+        place = [c for c in ("word_id", "paragraph_id") if c in df.columns][:1]
+        salt = F.pmod(F.xxhash64(*place), F.lit(max(1, rows // BUCKET_ROWS))) if place else F.lit(0)
+        spread = df.withColumn("bucket", bucket_name(F.lit(buckets))).repartition("bucket", salt)
+        spread.write.partitionBy("bucket").mode(mode).parquet(f"{self.path}/{part}")
+
+    def write(self, src: DataFrame, tags: DataFrame | None = None, mode: str = "errorifexists", span: int = 10_000, buckets: int = 0, subcorpus: str | None = None) -> None:
         """Writes a token table (file_id, filename and tokens, ids as in each file) with fresh ids and its contents.
 
         mode: overwrite, append or errorifexists. New ids start `span` above the largest so far. tags: file_id, tags map.
@@ -163,7 +200,7 @@ class Corpus:
         toc = toc.withColumn("ordinal", (F.col("ordinal") + first).cast("int"))
         self._write(toc, "toc", mode)
 
-    def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 64) -> None:
+    def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 0) -> None:
         self._write(df, f"frame={name}", mode, buckets)
 
     def replace_toc(self, toc: DataFrame) -> None:
@@ -172,6 +209,9 @@ class Corpus:
         toc.write.mode("overwrite").parquet(kept)
         self.spark.read.parquet(kept).write.mode("overwrite").parquet(f"{self.path}/toc")
 
+    def write_mapping(self, mapping: DataFrame, name: str = "mapping") -> None:
+        mapping.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
     def add_relation(self, relation: DataFrame) -> None:
         missing = {"file_1", "file_2", "relation_name"} - set(relation.columns)
         if missing:
@@ -181,7 +221,7 @@ class Corpus:
     def add_parallel(self, other: Corpus, subcorpus: str, relation: DataFrame | None = None) -> None:
         """Appends all files of another corpus as a subcorpus, with their tags, and relations to them."""
         toc = other.toc()
-        src = other.src().join(toc.select("file_id", "filename"), "file_id").drop("corpus_id", "bucket")
+        src = other.src().drop("corpus_id", "bucket", "filename").join(toc.select("file_id", "filename"), "file_id")
         self.write(src, toc.select("file_id", "tags"), "append" if self._has("toc") else "errorifexists", subcorpus=subcorpus)
         if relation is not None:
             self.add_relation(relation)
@@ -216,10 +256,10 @@ def featurized(source: Corpus, target: Corpus, steps: Sequence, append: bool = T
             bundle = bundle.with_frames(src=bundle.src.join(keep, "file_id", "left_semi"))
     files = bundle.src.select("file_id").distinct()
     mode = "append" if append else "overwrite"
-    target._write(bundle.src.drop("corpus_id", "bucket"), "src", mode, 64)
+    target._write(bundle.src.drop("corpus_id", "bucket"), "src", mode, 0)
     for name, df in made.items():
         own = df if "file_id" in df.columns else df.join(bundle.src.select("file_id", "word_id"), "word_id")
-        target._write(own.join(files, "file_id", "left_semi"), f"frame={name}", mode, 64)
+        target._write(own.join(files, "file_id", "left_semi"), f"frame={name}", mode, 0)
     target._write(source.toc().join(files, "file_id", "left_semi"), "toc", mode)
 
 
@@ -273,7 +313,19 @@ def read_zip(spark: SparkSession, paths: str, part: str = "src") -> DataFrame:
 
 
 def write_zip(corpus: Corpus, path: str) -> None:
-    """A zip archive of a (small) corpus: toc.parquet and src/<file_id>.parquet, made on the driver file by file."""
+    """A zip archive of a corpus for exchange: toc.parquet, relations.parquet and mapping.parquet if there are any, and for
+    each file src/<file_id>.parquet and <frame>/<file_id>.parquet.
+
+    The members are made by the executors, a file each; the driver only appends them to the archive, one at a time."""
+
+    def member(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            b = io.BytesIO()
+            part.to_parquet(b)
+            return pd.DataFrame({"name": [f"{folder}/{part.file_id.iloc[0]}.parquet"], "content": [b.getvalue()]})
+
+        return run
+
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
 
         def put(name: str, df: DataFrame) -> None:
@@ -282,5 +334,32 @@ def write_zip(corpus: Corpus, path: str) -> None:
             z.writestr(name, b.getvalue())
 
         put("toc.parquet", corpus.toc())
-        for r in corpus.toc().select("file_id").toLocalIterator():
-            put(f"src/{r.file_id}.parquet", corpus.src([r.file_id]).drop("bucket"))
+        if corpus._has("relation"):
+            put("relations.parquet", corpus.relations())
+        if any(n.startswith("mapping") for n in corpus._parts()):
+            put("mapping.parquet", corpus.mapping())
+        for folder, df in [("src", corpus.src()), *((n, corpus.frame(n)) for n in corpus.frame_names())]:
+            made = df.drop("bucket").groupBy("file_id").applyInPandas(member(folder), "name string, content binary")
+            for r in made.toLocalIterator():
+                z.writestr(r.name, r.content)
+
+
+# From texts to bundles
+
+
+def build_bundle(spark: SparkSession, source: object, featurizers: Sequence = (), language: str = "ru") -> Bundle:
+    """A bundle of whatever there is: a text, a list of words, a token table or frame of texts (file_id, text), or a bundle;
+    with the frames of the featurizers, each of which sees those of the ones before."""
+    if isinstance(source, Bundle):
+        bundle = source
+    elif isinstance(source, str):
+        bundle = Bundle({"src": TK.tokenize(spark.createDataFrame([("text", source)], "file_id string, text string"), "text", ["file_id"], language)})
+    elif isinstance(source, (list, tuple)):
+        bundle = Bundle({"src": TK.from_words(spark.createDataFrame([("text", list(source))], "file_id string, words array<string>"), "words", ["file_id"], language)})
+    elif isinstance(source, DataFrame):
+        bundle = Bundle({"src": source if "word_id" in source.columns else TK.tokenize(source, "text", ["file_id"], language)})
+    else:
+        raise TypeError("a bundle is built of a text, a list of words, a DataFrame or a bundle")
+    for f in featurizers:
+        bundle = bundle.with_frames(**f.frames(bundle.frames))
+    return bundle
