@@ -120,22 +120,33 @@ def markdown_tokens(parsed: DataFrame, language: str = "ru") -> DataFrame:
 
 # FB2
 
-_PREFIX = "FictionBook/body(/section)*(/cite)?"
-_MODS = "(/emphasis|/strong|/sup|/tail)+"
-# What the paths of an FB2 file mean; the first that matches counts.
-COMMANDS = (
-    (f"{_PREFIX}/p", "newline"), (f"{_PREFIX}/p{_MODS}", "sameline"), (f"{_PREFIX}/poem/stanza/v", "newline"), (f"{_PREFIX}/poem/stanza/v{_MODS}", "sameline"),
-    (f"{_PREFIX}/title/p", "header"), (f"{_PREFIX}/title/p{_MODS}", "sameline"), (f"{_PREFIX}/subtitle", "header"), (f"{_PREFIX}/subtitle{_MODS}", "sameline"),
-    (".*(/epigraph).*", "ignore"), (".*(/text-author).*", "ignore"), (".*/a", "ignore"), (".*/a.*", "ignore"), ("^(?!FictionBook/body).*", "ignore"),
-)
+# Elements that may nest around a block of text, what blocks there are, marks inside a block, and what is left out.
+OUTER, CITED, INLINE, LEFT_OUT = ("section",), ("cite",), ("emphasis", "strong", "sup", "tail"), ("epigraph", "text-author")
+BLOCKS = {"p": "newline", "poem/stanza/v": "newline", "title/p": "header", "subtitle": "header"}
 
 
 def command(path: Column) -> Column:
-    """What a path means: newline, sameline, header, ignore or null."""
-    out = F.lit(None).cast("string")
-    for pattern, said in reversed(COMMANDS):
-        out = F.when(path.rlike(f"^{pattern}$"), said).otherwise(out)
-    return out
+    """What the path of an element means: newline, sameline, header, ignore or null.
+
+    A block of text stands in the body, in any number of sections and perhaps a quotation. It begins a line or a header; marks
+    inside it go on with its line. What stands outside the body, in a link, in an epigraph or is an author's name is left out."""
+    steps = F.split(path, "/")
+    body = (F.element_at(steps, 1) == "FictionBook") & F.coalesce(F.try_element_at(steps, F.lit(2)) == "body", F.lit(False))
+    inner = _without_first(F.slice(steps, 3, F.size(steps)), OUTER, None)
+    inner = _without_first(inner, CITED, 1)
+    block = F.reverse(_without_first(F.reverse(inner), INLINE, None))
+    marked = F.size(block) < F.size(inner)
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in BLOCKS.items() for x in kv]), F.array_join(block, "/"))
+    out = F.exists(steps, lambda x: x.startswith("a") | F.coalesce(x.startswith(LEFT_OUT[0]) | x.startswith(LEFT_OUT[1]), F.lit(False)))
+    return F.when(body & kind.isNotNull(), F.when(marked, "sameline").otherwise(kind)).when(~body | out, "ignore")
+
+
+def _without_first(steps: Column, names: Sequence[str], most: int | None) -> Column:
+    """An array without the names it begins with, `most` of them at most."""
+    other = F.array_position(F.transform(steps, lambda x: ~x.isin(*names)), True)
+    count = F.when(other == 0, F.size(steps)).otherwise(other - 1).cast("int")
+    count = count if most is None else F.least(count, F.lit(most))
+    return F.slice(steps, count + 1, F.size(steps))
 
 
 def _linear(element, path: str) -> Iterator[tuple[str, str | None]]:
@@ -312,3 +323,56 @@ def entity_spans(texts: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     s = spans.groupBy(key, "start").agg(F.count(F.lit(1)).alias("starts"))
     e = spans.groupBy(key, "end").agg(F.count(F.lit(1)).alias("ends"))
     return t.join(s, [key, "start"], "left").join(e, [key, "end"], "left").select(key, "word_id", "word", "start", "end", F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("ends", F.lit(0)).alias("ends"))
+
+
+# Text sinks and sources
+
+
+def write_markdown(docs: DataFrame, path: str, name: str = "filename", text: str = "markdown") -> None:
+    """Writes each text to a folder of its own under `path`, named like the file it comes from with .md for its ending; the
+    tree of the sources is kept in the name."""
+    target = F.concat(F.regexp_replace(name, "[.][^./]*$", ""), F.lit(".md"))
+    docs.select(F.col(text).alias("value"), target.alias("file")).write.partitionBy("file").mode("overwrite").text(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what write_markdown wrote."""
+    return spark.read.text(path, wholetext=True).select("file", F.regexp_replace("value", "\n$", "").alias("text"))
+
+
+def read_csv_texts(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of CSV files (also .gz), with a header, quoted fields over several lines; `columns` is their schema. A .gz file is
+    one task, as it can't be cut."""
+    return spark.read.csv(path, schema=columns, header=True, multiLine=True, escape='"')
+
+
+def read_json_lines(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of files with a JSON object per line; the schema is given, so no pass looks for it."""
+    return spark.read.json(path, schema=columns)
+
+
+def read_text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): text files as a whole."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def span_sums(aligned: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, starts, ends, inside): of entity_spans, how many tokens begin, end and stand in annotated spans."""
+    w = Window.partitionBy(key).orderBy("word_id")
+    open_ = F.sum(F.col("starts") - F.coalesce(F.lag("ends").over(w), F.lit(0))).over(w)
+    return aligned.withColumn("_open", open_).groupBy(key).agg(F.count(F.lit(1)).alias("tokens"), F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.count_if(F.col("_open") > 0).alias("inside"))
+
+
+def page_fields(html: Column, marks: dict[str, str]) -> list[Column]:
+    """Columns of a page: for each name the text of the first element whose opening tag holds the mark (an attribute)."""
+    return [F.trim(F.regexp_extract(html, f"<[a-z0-9]+[^>]*{re.escape(mark)}[^>]*>([^<]*)<", 1)).alias(name) for name, mark in marks.items()]
+
+
+def tagged_markdown(tags: Column, markdown: Column) -> Column:
+    """A page's text with its tags (a map) in front as a line `$ {json}`."""
+    return F.concat(F.lit("$ "), F.to_json(tags), F.lit("\n\n"), markdown)
+
+
+def authors_of_size(works: DataFrame, author: str, size: str, least: int) -> DataFrame:
+    """(author, works, size): authors whose works have at least so many characters together."""
+    return works.groupBy(author).agg(F.count(F.lit(1)).alias("works"), F.sum(size).alias("size")).where(F.col("size") >= least)
