@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..session import cut
+from .packing import packs
 
 
 def edit_path(a: Sequence[str], b: Sequence[str], sim: np.ndarray | None = None, threshold: float = 0.5, drop_a: float = 1, drop_b: float = 3, change: float = 2) -> list[tuple[int, int, str]]:
@@ -19,25 +21,48 @@ def edit_path(a: Sequence[str], b: Sequence[str], sim: np.ndarray | None = None,
     Costs: a token of a left out drop_a, of b drop_b; equal tokens 0; others `change`, or max(0, 10 (1 - cos) - 1) where
     their cosine exceeds the threshold. Borders cost the same as inside; ties: pairs first, then leaving out of a."""
     n, m = len(a), len(b)
-    cost = np.full((n, m), float(change))
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if x == y:
-                cost[i, j] = 0.0
-            elif sim is not None and sim[i, j] > threshold:
-                cost[i, j] = min(change, max(0.0, 10 * (1 - sim[i, j]) - 1))
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0] = np.arange(n + 1) * drop_a
-    d[0, :] = np.arange(m + 1) * drop_b
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + cost[i - 1, j - 1], d[i - 1, j] + drop_a, d[i, j - 1] + drop_b)
+    # Tokens as numbers: rows are compared at once.
+    codes = pd.factorize(np.array([*a, *b], dtype=object))[0]
+    x, y = codes[:n], codes[n:]
+
+    def costs(i: int) -> np.ndarray:
+        own = np.full(m, float(change))
+        if sim is not None:
+            near = sim[i] > threshold
+            own[near] = np.minimum(change, np.maximum(0.0, 10 * (1 - sim[i][near]) - 1))
+        own[y == x[i]] = 0.0
+        return own
+
+    steps = np.arange(m + 1) * drop_b
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.empty(m + 1)
+        new[0] = (i + 1) * drop_a
+        new[1:] = np.minimum(row[:-1] + costs(i), row[1:] + drop_a)
+        # Leaving out of b again and again: the least of all beginnings.
+        return np.minimum.accumulate(new - steps) + steps
+
+    # Some sqrt(n) rows are kept, those between are computed again on the way back.
+    block = max(1, math.isqrt(n))
+    kept = [steps.astype(float)]
+    row = kept[0]
+    for i in range(n):
+        row = after(row, i)
+        if (i + 1) % block == 0:
+            kept.append(row)
     out, i, j = [], n, m
+    held, lowest = None, n + 1
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + cost[i - 1, j - 1]:
+        if i and i - 1 < lowest:
+            lowest = (i - 1) // block * block
+            held = [kept[lowest // block]]
+            for k in range(lowest, min(n, lowest + block)):
+                held.append(after(held[-1], k))
+        d = held[i - lowest] if held is not None else kept[0]
+        if i and j and abs(d[j] - held[i - 1 - lowest][j - 1] - costs(i - 1)[j - 1]) < 1e-9:
             i, j = i - 1, j - 1
             out.append((i, j, "Matched" if a[i] == b[j] else "Transited"))
-        elif i and d[i, j] == d[i - 1, j] + drop_a:
+        elif i and abs(d[j] - held[i - 1 - lowest][j] - drop_a) < 1e-9:
             i -= 1
             out.append((i, -1, "Deleted"))
         else:
@@ -137,14 +162,11 @@ def fragments(sentences: DataFrame, key: str, limit: int = 500) -> DataFrame:
     """(key, fragment, text_type, start_id, end_id, text): runs of sentences of one type (dialog or narrative), closed
     before `limit` tokens are reached. sentences: key, sentence_id, tokens, is_dialog, start_id, end_id, text.
 
-    A fold over each record's sentences; both types have their own ids and limits."""
-    lists = sentences.groupBy(key, F.when(F.col("is_dialog"), "dialog").otherwise("narrative").alias("text_type")).agg(F.sort_array(F.collect_list(F.struct("sentence_id", "tokens", "start_id", "end_id", "text"))).alias("s"))
-    fold = f"""
-        aggregate(s, struct(cast(-1 as int) as no, cast(0 as bigint) as n, cast(array() as array<int>) as out),
-          (a, x) -> if(a.no < 0 or a.n + x.tokens > {limit}, struct(a.no + 1 as no, cast(x.tokens as bigint) as n, array_append(a.out, a.no + 1) as out),
-                       struct(a.no as no, a.n + x.tokens as n, array_append(a.out, a.no) as out)), a -> a.out)"""
-    numbered = lists.select(key, "text_type", F.explode(F.arrays_zip("s", F.expr(fold).alias("no"))).alias("z"))
-    flat = numbered.select(key, "text_type", F.col("z.no").alias("fragment"), "z.s.*")
+    Sentences are packed in parallel (see packing); both types have their own ids and limits."""
+    kind = F.when(F.col("is_dialog"), "dialog").otherwise("narrative")
+    own = sentences.withColumn("text_type", kind).withColumn("_k", F.concat_ws("/", kind, F.col(key).cast("string")))
+    placed = packs(own, "_k", "sentence_id", "tokens", limit + 1).withColumnRenamed("pack", "fragment")
+    flat = own.join(placed, ["_k", "sentence_id"])
     return flat.groupBy(key, "text_type", "fragment").agg(
         F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), " ").alias("text"),
@@ -165,9 +187,13 @@ def pretty_retell(response: Column) -> Column:
 
 
 def retells(frags: DataFrame, responses: DataFrame) -> DataFrame:
-    """(file_id, run, text): fragments (id, file_id, ordinal) with responses (id, response), runs of one file together."""
+    """(file_id, run, text): fragments (id, file_id, ordinal) with responses (id, response); consecutive ones of a file make a run.
+
+    ordinal counts the fragments that have a response without gaps, so that runs show without a look at the row before."""
     j = frags.join(responses, "id").withColumn("text", pretty_retell(F.col("response")))
-    return j.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    w = Window.partitionBy("file_id").orderBy("ordinal")
+    runs = j.withColumn("_i", F.col("ordinal") - F.row_number().over(w)).withColumn("run", F.dense_rank().over(Window.partitionBy("file_id").orderBy("_i")) - 1)
+    return runs.groupBy("file_id", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 def reversed_edges(relation: DataFrame) -> DataFrame:
@@ -187,6 +213,20 @@ def zipped(a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
     return n(a).alias("a").join(n(b).alias("b"), [key, "place"]).select(key, "place", *[F.col(f"a.{c}").alias(f"a_{c}") for c in a.columns if c != key], *[F.col(f"b.{c}").alias(f"b_{c}") for c in b.columns if c != key])
 
 
+def by_header(a: DataFrame, b: DataFrame, key: str, header: str, order: str) -> DataFrame:
+    """(key, header, place, a_.., b_..): chapters of two editions that begin with the same header text, then one for one: the k-th
+    after a header in one with the k-th after it in the other. a, b: key, order, header (null inside a chapter)."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        clean = F.lower(F.trim(F.col(header)))
+        w = Window.partitionBy(key).orderBy(order)
+        h = df.withColumn("_h", F.last(clean, ignorenulls=True).over(w)).where("_h is not null")
+        return h.withColumn("place", F.row_number().over(Window.partitionBy(key, "_h").orderBy(order)) - 1)
+
+    x, y = placed(a).select(key, "_h", "place", F.col(order).alias(f"a_{order}")), placed(b).select(key, "_h", "place", F.col(order).alias(f"b_{order}"))
+    return x.join(y, [key, "_h", "place"]).withColumnRenamed("_h", header)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two arrays; null if both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
@@ -227,10 +267,39 @@ def summary(words: DataFrame, key: str, k: int) -> DataFrame:
     return score.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "sentence_id"))).where(F.col("n") <= k).drop("n")
 
 
+def vector_summary(sentences: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, sentence_id, score): the k sentences of each text nearest (cosine) to the mean vector of its sentences.
+
+    sentences: key, sentence_id, vec array. The mean is taken by place of the vector, so no text's vectors are gathered."""
+    places = sentences.select(key, "sentence_id", F.posexplode("vec").alias("place", "x"))
+    mean = places.groupBy(key, "place").agg(F.avg("x").alias("m"))
+    sums = places.join(mean, [key, "place"]).groupBy(key, "sentence_id").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    score = sums.select(key, "sentence_id", F.try_divide("dot", F.sqrt(F.col("xx") * F.col("mm"))).alias("score"))
+    return score.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "sentence_id"))).where(F.col("n") <= k).drop("n")
+
+
+#: Bytes of query vectors that are sent to all executors at a time.
+QUERY_BYTES = 64 << 20
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int, block: int = 512) -> DataFrame:
     """(query, other, cosine): the k nearest vectors to each query, exactly. `queries` is a stated set: it comes in blocks
-    of `block` that are compared with every partition of all vectors; only k per query and partition move on."""
+    of `block` that are compared with every partition of all vectors; only k per query and partition move on. A query
+    set of more than QUERY_BYTES takes several passes over all vectors, each of which sends so much of it and is written
+    before the next."""
     q = queries.select(F.col(key).alias("query"), F.col(vec).alias("qv")).where("qv is not null")
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
+    passes = -(-(size.n or 0) * (size.d or 0) * 8 // QUERY_BYTES) or 1
+    if passes == 1:
+        return _nearest(vectors, q, key, vec, k, block)
+    out = None
+    for p in range(passes):
+        own = cut(_nearest(vectors, q.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == p), key, vec, k, block))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _nearest(vectors: DataFrame, q: DataFrame, key: str, vec: str, k: int, block: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = q.collect()
     if not rows:

@@ -57,12 +57,17 @@ def repetitions(src: DataFrame, within: int = 50, forms: DataFrame | None = None
 def spelling(src: DataFrame, dictionary: DataFrame, suggestions: int = 3, distance: int = 1) -> DataFrame:
     """Russian words outside the dictionary (word), with the dictionary's words at most `distance` edits away.
 
-    Distinct words only; candidates meet on their deletions (a word within one edit shares the word itself or one with a
-    letter left out), then are measured. Order: distance, then the alphabet."""
+    Distinct words only; candidates meet on their deletions (words within d edits share what is left of both after
+    leaving out at most d letters), then are measured. Order: distance, then the alphabet. distance: 1 or 2, as the number of
+    deletions grows with its power."""
+    if distance not in (1, 2):
+        raise ValueError("distance is 1 or 2")
     low = src.where("word_type = 'ru' and word is not null").select(*KEY, F.lower("word").alias("w"))
     known = dictionary.select(F.lower("word").alias("w")).distinct()
     wrong = low.select("w").distinct().join(known, "w", "left_anti")
-    cut = "array_union(array(w), transform(sequence(1, length(w)), k -> concat(substring(w, 1, k - 1), substring(w, k + 1))))"
+    cut = "array_union(array(w), transform(sequence(1, greatest(1, length(w))), k -> concat(substring(w, 1, k - 1), substring(w, k + 1))))"
+    if distance == 2:
+        cut = f"array_distinct(flatten(transform({cut}, v -> array_union(array(v), transform(sequence(1, greatest(1, length(v))), k -> concat(substring(v, 1, k - 1), substring(v, k + 1)))))))"
     a = wrong.select(F.col("w").alias("bad"), F.explode(F.expr(cut)).alias("cut"))
     b = known.select(F.col("w").alias("good"), F.explode(F.expr(cut)).alias("cut"))
     near = a.join(b, "cut").select("bad", "good").distinct().withColumn("d", F.levenshtein("bad", "good")).where(F.col("d") <= distance)
@@ -120,6 +125,35 @@ def house_check(src: DataFrame, forms: DataFrame, wrong: DataFrame, more: Sequen
     return combined(src, [("spelling", rare_spelling(src, forms, wrong)), ("repetitions", again), *more])
 
 
+# What the three kinds of alternatives look like, in small letters.
+TARGETS = {"tsa": "т(ь)?ся$", "chtoby": "^(чтобы|что бы)$", "ne": "^не"}
+
+
+def target_index(src: DataFrame, kind: str) -> DataFrame:
+    """(file_id, sentence_id, word_id, word, first, last): the words, or pairs of words, that may be written otherwise.
+
+    tsa: a word in -тся or -ться; chtoby: чтобы, or что with бы right behind it; ne: a word in не-, or не with the word behind it."""
+    if kind not in TARGETS:
+        raise ValueError(f"there is no kind {kind!r}; there are {', '.join(TARGETS)}")
+    low = F.lower("word")
+    w = Window.partitionBy("file_id", "sentence_id").orderBy("word_id")
+    own = src.where("word is not null").select(*KEY, "sentence_id", low.alias("word")).withColumn("next", F.lead("word").over(w)).withColumn("next_id", F.lead("word_id").over(w))
+    two = {"chtoby": (F.col("word") == "что") & (F.col("next") == "бы"), "ne": (F.col("word") == "не") & F.col("next").rlike("^[а-яё]")}.get(kind, F.lit(False))
+    found = own.withColumn("two", F.coalesce(two, F.lit(False))).where(F.col("two") | F.col("word").rlike(TARGETS[kind]) & ~F.col("word").isin("не"))
+    shown = F.when(F.col("two"), F.concat_ws(" ", "word", "next")).otherwise(F.col("word"))
+    return found.select("file_id", "sentence_id", "word_id", shown.alias("word"), F.col("word_id").alias("first"), F.when(F.col("two"), F.col("next_id")).otherwise(F.col("word_id")).alias("last"))
+
+
+def other_writing(word: Column, kind: str) -> Column:
+    """The other way to write what target_index finds."""
+    joined = F.regexp_replace(word, " ", "")
+    if kind == "tsa":
+        return swapped_ending(word, "тся", "ться")
+    if kind == "chtoby":
+        return F.when(word == "чтобы", "что бы").otherwise("чтобы")
+    return F.when(word.contains(" "), joined).otherwise(F.concat(F.lit("не "), F.substr(word, F.lit(3))))
+
+
 def swapped_ending(word: Column, a: str, b: str) -> Column:
     """The word with ending a for b or b for a; null if it has neither."""
     return F.when(word.endswith(b), F.expr(f"concat(substring(word, 1, length(word) - {len(b)}), '{a}')")).when(word.endswith(a), F.expr(f"concat(substring(word, 1, length(word) - {len(a)}), '{b}')"))

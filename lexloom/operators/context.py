@@ -28,6 +28,13 @@ def contexts(index: DataFrame, tokens: DataFrame, size: int, proportion: float =
     return out if zero else out.where("offset != 0")
 
 
+def best_symbol(scored: DataFrame, symbols: Sequence[str], actual: str) -> DataFrame:
+    """Adds best (the symbol whose column is greatest; the first of equal ones) and correct (it is the actual one)."""
+    values = F.array(*[F.col(f"`{s}`").cast("double") for s in symbols])
+    best = F.element_at(F.array(*map(F.lit, symbols)), F.array_position(values, F.array_max(values)).cast("int"))
+    return scored.withColumn("best", best).withColumn("correct", F.col("best") == F.col(actual))
+
+
 def sign_contexts(index: DataFrame, tokens: DataFrame, size: int, proportion: float = 0.5, zero: bool = True) -> DataFrame:
     """Contexts that hide the sign to be guessed: targets lose offset 1, the others the largest offset of all.
 

@@ -48,6 +48,18 @@ def incremental(src: DataFrame, old: DataFrame, build: Callable[[DataFrame], Dat
     return fresh.unionByName(kept.select(*fresh.columns))
 
 
+def one_pass(rows: DataFrame, key: str, numbers: list[str], flags: list[str] = ()) -> DataFrame:
+    """Statistics of every key in one pass: n, for each number its sum, least, greatest and mean, for each flag how often it is set."""
+    each = [f(c).alias(f"{c}_{n}") for c in numbers for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max), ("mean", F.avg))]
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *each, *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(f"{c}_n") for c in flags])
+
+
+def expanded(rows: DataFrame, key: str, order: str, value: str, buffer: int) -> DataFrame:
+    """(key, order, values): each row with the `buffer` values that stand before it and its own, once there are so many."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-buffer, 0)
+    return rows.select(key, order, F.collect_list(F.coalesce(value, F.lit(0))).over(w).alias("values")).where(F.size("values") == buffer + 1)
+
+
 def per_distinct_word(src: DataFrame, analyse: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
     """(file_id, word_id, analysis): runs an analyser once for each distinct word and joins its result back."""
     if analyse is None:
@@ -129,20 +141,60 @@ def morphemes(forms: DataFrame, dictionary: DataFrame, types: list[str] | None =
     return forms.select("word_id", "normal_form").dropDuplicates(["word_id"]).join(d, "normal_form").select("word_id", "morpheme_index", "morpheme_type", "morpheme")
 
 
-# Endings that the simple Russian stemmer takes off, longest first.
-RU_ENDINGS = (
-    "иями ями ами ыми ими его ого ему ому ться ешь ишь ете ите ует ают яют уют ала ила ыла ела ать ять еть ить ыть ост ия ья ие ье ии ьи ов ев ей ой ий ый "
-    "ая яя ое ее ые ие ую юю ам ям ах ях ом ем ит ет ат ят ут ют ал ил ыл ел ть а я о е и ы у ю ь й"
-).split()
+# The classes of endings of the published Snowball algorithm for Russian. Those under *_A must follow а or я.
+VOWELS = "аеиоуыэюя"
+GERUND_A, GERUND = "вшись|вши|в", "ившись|ивши|ив|ывшись|ывши|ыв"
+ADJECTIVE = "ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею"
+PARTICIPLE_A, PARTICIPLE = "ем|нн|вш|ющ|щ", "ивш|ывш|ующ"
+VERB_A = "ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно"
+VERB = "ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ят|ует|уют|ит|ыт|ены|ить|ыть|ишь|ую|ю"
+NOUN = "а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def snowball(word: Column) -> Column:
+    """The stem of a Russian word by the Snowball algorithm; ё counts as е. Regular expressions only, so all of it stays in
+    the JVM; endings are taken off behind the first vowel, -ост(ь) behind the second syllable's end."""
+
+    def either(c: Column, after: str, plain: str) -> Column:
+        return _let(F.regexp_replace(c, f"(?:{plain})$", ""), lambda bare: F.when(bare != c, bare).otherwise(F.regexp_replace(c, f"([ая])(?:{after})$", "$1")))
+
+    def inflected(active: Column) -> Column:
+        adjective = F.regexp_replace(active, f"(?:{ADJECTIVE})$", "")
+        verb = F.regexp_replace(active, f"([ая])(?:{VERB_A})$|(?:{VERB})$", "$1")
+        rest = lambda: _let(verb, lambda v: F.when(v != active, v).otherwise(F.regexp_replace(active, f"(?:{NOUN})$", "")))
+        return _let(adjective, lambda a: F.when(a != active, either(a, PARTICIPLE_A, PARTICIPLE)).otherwise(rest()))
+
+    def first(rest: Column) -> Column:
+        return _let(either(rest, GERUND_A, GERUND), lambda g: F.when(g != rest, g).otherwise(_let(F.regexp_replace(rest, "(?:ся|сь)$", ""), inflected)))
+
+    def tidied(c: Column) -> Column:
+        single = lambda x: F.regexp_replace(x, "нн$", "н")
+        return _let(F.regexp_replace(c, "ейше?$", ""), lambda g: F.when(g != c, single(g)).otherwise(F.regexp_replace(single(c), "ь$", "")))
+
+    def stemmed(low: Column, head: Column) -> Column:
+        second = F.length(F.regexp_extract(low, f"^.*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]", 0))
+        derived = lambda v: _let(F.regexp_replace(v, "ость?$", ""), lambda x: F.when((second > 0) & (F.length(head) + F.length(x) >= second), x).otherwise(v))
+        bare = F.regexp_replace(first(F.substr(low, F.length(head) + 1)), "и$", "")
+        return F.when(head == "", low).otherwise(F.concat(head, _let(_let(bare, derived), tidied)))
+
+    return _let(X.yo(F.lower(word)), lambda low: _let(F.regexp_extract(low, f"^[^{VOWELS}]*[{VOWELS}]", 0), lambda head: stemmed(low, head)))
+
+
+# Endings that the simple English stemmer takes off, longest first.
 EN_ENDINGS = "ingly edly ations ation ness ment ings ing ies ied est ers er ed es ly s".split()
 
 
 def stem(word: Column, language: str = "ru") -> Column:
-    """A light stemmer: one ending off, at least three letters left. Rule-based; not the Snowball algorithm."""
-    endings = RU_ENDINGS if language == "ru" else EN_ENDINGS
-    pattern = "^(.{3,}?)(?:" + "|".join(endings) + ")$"
+    """The stem of a Russian word (Snowball), or of an English one by a light rule: one ending off, at least three letters left."""
+    if language == "ru":
+        return snowball(word)
+    pattern = "^(.{3,}?)(?:" + "|".join(EN_ENDINGS) + ")$"
     low = F.lower(word)
-    low = X.yo(low) if language == "ru" else low
     got = F.regexp_extract(low, pattern, 1)
     return F.when(got != "", got).otherwise(low)
 
@@ -150,7 +202,8 @@ def stem(word: Column, language: str = "ru") -> Column:
 def stems(src: DataFrame, language: str = "ru", tagger: Callable[[pd.Series], pd.DataFrame] | None = None) -> DataFrame:
     """stem, ending and, with a tagger, pos (else null)."""
     low = X.yo(F.lower("word")) if language == "ru" else F.lower("word")
-    out = src.select(*KEY, low.alias("word"), stem(F.col("word"), language).alias("stem"))
+    words = src.select("word").where("word is not null").distinct().withColumn("stem", stem(F.col("word"), language))
+    out = src.select(*KEY, "word").join(words, "word", "left").select(*KEY, low.alias("word"), "stem")
     out = out.withColumn("ending", F.expr("substring(word, length(stem) + 1)"))
     if tagger is None:
         return out.withColumn("pos", F.lit(None).cast("string"))
@@ -200,6 +253,11 @@ def vector_keys(src: DataFrame, forms: DataFrame, vocabulary: DataFrame) -> Data
     )
 
 
+def vectors_used(keys: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The vectors that some word has, once each. keys: vector_keys; vectors: vector_id and the vector."""
+    return vectors.join(keys.select("vector_id").where("vector_id is not null").distinct(), "vector_id", "left_semi")
+
+
 def neighbourhood(src: DataFrame, value: str, reach: int, default: str = "") -> DataFrame:
     """The value of the `reach` words on either side in the sentence as left_k and right_k."""
     w = Window.partitionBy("file_id", "sentence_id").orderBy("word_id")

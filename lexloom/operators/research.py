@@ -67,6 +67,15 @@ def antecedents(nouns: DataFrame, pronouns: DataFrame, k: int) -> DataFrame:
     return want.join(have, ["file_id", "gender", "no"]).select("file_id", "word_id", "candidate_id", (F.col("last") - F.col("no") + 1).cast("int").alias("place"))
 
 
+def without_siblings(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates that don't hang on the same word as their pronoun (edges: file_id, word_id, syntax_parent_id), the nearest of
+    each noun kept once. candidates: file_id, word_id, candidate_id, place."""
+    own = edges.where("syntax_parent_id != -1").select("file_id", "word_id", F.col("syntax_parent_id").alias("own_parent"))
+    other = edges.where("syntax_parent_id != -1").select("file_id", F.col("word_id").alias("candidate_id"), F.col("syntax_parent_id").alias("other_parent"))
+    met = candidates.join(own, ["file_id", "word_id"], "left").join(other, ["file_id", "candidate_id"], "left")
+    return met.where("own_parent is null or other_parent is null or own_parent != other_parent").select(*candidates.columns)
+
+
 def accepted(scored: DataFrame) -> DataFrame:
     """The best candidate of each pronoun if it stands out: e^score, normalised per pronoun; accepted if the first is
     more than a standard deviation ahead of the second. scored: file_id, word_id, candidate_id, score."""
@@ -111,6 +120,27 @@ def cooccurrence(words: DataFrame, reach: int = 15, weighted: bool = False) -> D
     return each.select(a.alias("a"), b.alias("b"), "x").groupBy("a", "b").agg(n.alias("n"))
 
 
+def normalised(pairs: DataFrame, smooth: float = 0.0) -> DataFrame:
+    """(a, b, n, share): each entry of a co-occurrence matrix in long form as a share of its row; both triangles count."""
+    whole = pairs.select("a", "b", "n").unionByName(pairs.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    rows = whole.groupBy("a").agg(F.sum(F.col("n") + smooth).alias("_all"))
+    return whole.join(rows, "a").select("a", "b", "n", ((F.col("n") + smooth) / F.col("_all")).alias("share"))
+
+
+def merged_matrices(*matrices: DataFrame) -> DataFrame:
+    """(a, b, n): the entries of several matrices added up."""
+    out = matrices[0].select("a", "b", "n")
+    for m in matrices[1:]:
+        out = out.unionByName(m.select("a", "b", "n"))
+    return out.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def masked_matrix(pairs: DataFrame, words: DataFrame, column: str = "word") -> DataFrame:
+    """The entries none of whose words is in the list."""
+    own = words.select(F.col(column).alias("_w")).where("_w is not null").distinct()
+    return pairs.join(own.withColumnRenamed("_w", "a"), "a", "left_anti").join(own.withColumnRenamed("_w", "b"), "b", "left_anti")
+
+
 def not_first_mention(rows: DataFrame, category: str) -> DataFrame:
     """Rows that are not the first of their category in the file; rows without a category are left out."""
     first = rows.groupBy("file_id", category).agg(F.min("word_id").alias("word_id"))

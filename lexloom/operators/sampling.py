@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 SENTENCE = ["file_id", "sentence_id"]
 
 
@@ -63,6 +65,51 @@ def with_target(tokens: DataFrame, target: Column) -> DataFrame:
     return t.withColumn("_any", F.bool_or("is_target").over(Window.partitionBy(*SENTENCE))).where("_any").drop("_any")
 
 
+def in_dictionary(words: DataFrame, column: str = "word") -> Callable[[DataFrame], DataFrame]:
+    """A filter: sentences with a word (in small letters) of the dictionary, which are the targets."""
+    known = words.select(F.lower(column).alias("_w")).where("_w is not null").distinct().withColumn("_hit", F.lit(True))
+
+    def run(tokens: DataFrame) -> DataFrame:
+        hit = tokens.withColumn("_w", F.lower("word")).join(known, "_w", "left").drop("_w")
+        return with_target(hit, F.col("_hit")).drop("_hit")
+
+    return run
+
+
+def training_bundle(
+    tokens: DataFrame,
+    target: Callable[[DataFrame], DataFrame],
+    negative: Callable[[DataFrame], DataFrame],
+    featurizers: Sequence = (),
+    base: float = 2.0,
+    most: int | None = None,
+    seed: int = 0,
+    reference: str = "word",
+) -> dict[str, DataFrame]:
+    """A training set from start to end: {src, index and the featurizers' frames}.
+
+    Sentences are balanced by corpus and whole logarithm of their length (`most` of each bucket), then filtered by
+    `target` (which adds is_target); what was written is label 0, what `negative` makes of it label 1, each variant with
+    ids of its own: variant_no 0 for what was written, from 1 on for what was made. original_corpus_id tells where a
+    sentence is from. tokens: corpus_id and a token table with ids unique over all corpora."""
+    if most is not None:
+        b = buckets(tokens, base)
+        tokens = selected(tokens, capped(b, ["corpus_id", "log_len"], "sentence_id", most, seed))
+    kept = target(tokens).withColumn("original_corpus_id", F.col("corpus_id"))
+    written = kept.withColumn("variant_no", F.lit(0))
+    made = negative(kept)
+    made = made.withColumn("variant_no", F.col("variant_no") + 1 if "variant_no" in made.columns else F.lit(1))
+    src = labelled(written, made)
+    bundle = {"src": src}
+    for f in featurizers:
+        bundle |= f.frames(bundle)
+    rows = index(src, F.col("label"), reference, seed=seed)
+    # Samples of one word differ by their variant.
+    own = src.where("is_target").select("word_id", "label", "variant_no").distinct()
+    bundle["index"] = rows.drop("sample_id").distinct().join(own, ["word_id", "label"])
+    return bundle
+
+
 def starts_sequence(sequences: Sequence[Sequence[str]]) -> Column:
     """Is this word the first of one of the sequences (small letters, across sentences of the file)?"""
     w = Window.partitionBy("file_id").orderBy("word_id")
@@ -75,6 +122,14 @@ def starts_sequence(sequences: Sequence[Sequence[str]]) -> Column:
     return out
 
 
+DASHES = ("–", "—", "−", "―")
+
+
+def plain_dash(word: Column) -> Column:
+    """Dashes of any length as one: -."""
+    return F.when(word.isin(*DASHES), "-").otherwise(word)
+
+
 def next_sign(symbols: Sequence[str]) -> Column:
     """Is the next word of the sentence one of the signs, and this one no punctuation?"""
     nxt = F.lead("word").over(Window.partitionBy(*SENTENCE).orderBy("word_id"))
@@ -185,6 +240,21 @@ def folds(rows: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("fold", (F.conv(F.substring(hash_order(key, seed=seed), 1, 6), 16, 10).cast("long") % count).cast("int"))
 
 
+def weighted_batches(rows: DataFrame, key: str, priority: str, size: int, seed: int = 0) -> DataFrame:
+    """batch: rows in batches of `size`, those of high priority earlier: in the order of -ln(u) / priority, u by hash, which draws
+    without replacement in proportion to priority. Rows of no priority come last. Numbered without a task that sees all."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    p = F.col(priority).cast("double")
+    order = F.when(p > 0, -F.ln(u) / p).otherwise(F.lit(float("inf")))
+    return numbered(rows.withColumn("_o", order), ["_o", key], "_n").withColumn("batch", (F.col("_n") / size).cast("long")).drop("_o", "_n")
+
+
+def split_composition(rows: DataFrame, category: str) -> DataFrame:
+    """(split, category, n, share): what each split is made of."""
+    n = rows.groupBy("split", category).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("split")))
+
+
 def split_by_time(rows: DataFrame, time: str, *borders: tuple[str, str]) -> DataFrame:
     """split: the name of the first border (time, name) that a row lies before, else test; null times are test."""
     out = F.lit("test")

@@ -111,11 +111,14 @@ def repaired(edges: DataFrame) -> DataFrame:
 
 
 def problems(edges: DataFrame) -> DataFrame:
-    """(problem, file_id, sentence_id): sentences without exactly one root, or with a parent that is not in them."""
+    """(problem, file_id, sentence_id): sentences without exactly one root, with a parent that is not in them, a
+    word that comes twice or one without parent."""
     roots = edges.groupBy(*SENTENCE).agg(F.count_if(F.col("syntax_parent_id") == -1).alias("n")).where("n != 1").select(F.lit("roots").alias("problem"), *SENTENCE)
     ids = edges.select(*SENTENCE, F.col("word_id").alias("syntax_parent_id"))
     lost = edges.where("syntax_parent_id != -1").join(ids, [*SENTENCE, "syntax_parent_id"], "left_anti").select(F.lit("parent").alias("problem"), *SENTENCE).distinct()
-    return roots.unionByName(lost)
+    twice = edges.groupBy(*SENTENCE, "word_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("twice").alias("problem"), *SENTENCE).distinct()
+    null = edges.where("syntax_parent_id is null").select(F.lit("null").alias("problem"), *SENTENCE).distinct()
+    return roots.unionByName(lost).unionByName(twice).unionByName(null)
 
 
 def tree_stats(edges: DataFrame, ancestors: DataFrame) -> DataFrame:

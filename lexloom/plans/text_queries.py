@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import alignment, context, features, sampling
+from ..operators import alignment, context, features
 from ..operators import relational as R
 from ..operators import tokens as TK
 from ..session import table
@@ -74,18 +74,27 @@ def token_id_reindex(spark, folder):
     return TK.reset_ids(src, "file_id", 50).select("original_word_id", "word_id", "sentence_id", "paragraph_id")
 
 
-@query()
+@query("""with t as (select distinct file_id, word_id, sentence_id, paragraph_id from src), f as (select file_id, count(*) as tokens, count(distinct sentence_id) as sentences, count(distinct paragraph_id) as paragraphs from t group by file_id)
+select file_id, tokens, tokens as ids, tokens - 1 as span, sentences, paragraphs, true as apart from f""")
 def token_global_ids(spark, folder):
-    """Fresh ids over all files: unique everywhere, files apart. The order of the files is that of a hash."""
+    """Fresh ids over all files, by file: unique everywhere, dense inside a file, and no file's ids reach into another's."""
     src = TK.clean(table(spark, folder, "src", "file_id", "word_id", "sentence_id", "paragraph_id"))
-    return TK.global_ids(TK.reset_ids(src, "file_id", originals=False), "file_id")
+    ids = TK.global_ids(TK.reset_ids(src, "file_id", originals=False), "file_id")
+    n = ids.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("tokens"), F.count_distinct("word_id").alias("ids"), (F.max("word_id") - F.min("word_id")).alias("span"), F.count_distinct("sentence_id").alias("sentences"), F.count_distinct("paragraph_id").alias("paragraphs"),
+        F.min("word_id").alias("lo"), F.greatest(F.max("word_id"), F.max("sentence_id"), F.max("paragraph_id")).alias("hi"),
+    )
+    # A row per file.
+    before = F.max("hi").over(R.Window.partitionBy(F.lit(0)).orderBy("lo").rowsBetween(R.Window.unboundedPreceding, -1))
+    return n.withColumn("apart", F.coalesce(F.col("lo") > before, F.lit(True))).drop("lo", "hi")
 
 
 @query("""with t as (select distinct word_id, word, word_length from src), x as (
- select 'null word' as problem, word is null as bad from t union all select 'null word_length', word_length is null from t union all select 'null word_id', word_id is null from t)
+ select 'null word' as problem, word is null as bad from t union all select 'null word_length', word_length is null from t union all select 'null word_id', word_id is null from t
+ union all select 'word_id comes twice', count(*) > 1 from t group by word_id)
 select problem, count(*) as rows from x where bad group by problem""")
 def token_problems(spark, folder):
-    return TK.invalid_ids(TK.clean(table(spark, folder, "src", "word_id", "word", "word_length")))
+    return TK.invalid_ids(table(spark, folder, "src", "word_id", "word", "word_length").distinct())
 
 
 @query("""with recursive t as (select distinct file_id, word_id, sentence_id from src where sentence_id is not null),
@@ -125,7 +134,7 @@ def related_src(spark, folder):
     return e.join(n, "file_id").select("file_1", "relation_name", "file_id", "tokens")
 
 
-BOOKS = split_sql("(select distinct file_id, content from book where lower(lang) like 'ru%')", "file_id", "content")
+BOOKS = split_sql("(select distinct file_id, content from book)", "file_id", "content")
 
 
 @query(f"""with {BOOKS},
@@ -136,7 +145,7 @@ c as (select *, sum(border::int) over (partition by k, par order by word_id) - 1
 select k as file_id, word_id, case when not dlg then 'no' when border or coalesce(after_border, false) then case when word in ('—','–','-') then 'dialog-dash' else 'dialog-symbol' end
  when no % 2 = 0 then 'speech' else 'action' end as dialog_type, dlg as is_dialog from c""")
 def dialog_markup(spark, folder):
-    books = table(spark, folder, "book", "file_id", "content", "lang").where(F.lower("lang").like("ru%")).select("file_id", "content").distinct()
+    books = table(spark, folder, "book", "file_id", "content").distinct()
     return features.dialog(TK.tokenize(books, "content", ["file_id"]))
 
 
@@ -215,17 +224,10 @@ def retell_pretty(spark, folder):
     return table(spark, folder, "chapter_info", "chapter_id", "retell").distinct().where("retell is not null").select("chapter_id", alignment.pretty_retell(F.col("retell")).alias("text"))
 
 
-@query()
-def rewritten_sentences(spark, folder):
-    """Negative samples by swapping words at one place of a text."""
-    c = table(spark, folder, "chapter_info", "chapter_id", "retell").distinct().where("retell is not null")
-    return sampling.rewritten(c.select("chapter_id", F.col("retell").alias("text")), "text", [("чтобы", "что бы"), ("новый", "старый")])
-
-
 @query()
 def fragment_json(spark, folder):
     """Dialogue and narrative fragments of each book as JSON."""
-    books = table(spark, folder, "book", "file_id", "content", "lang").where(F.lower("lang").like("ru%")).select("file_id", "content").distinct()
+    books = table(spark, folder, "book", "file_id", "content").distinct()
     t = TK.tokenize(books, "content", ["file_id"])
     d = t.join(features.dialog(t), ["file_id", "word_id"])
     s = d.groupBy("file_id", "sentence_id").agg(F.count(F.lit(1)).alias("tokens"), F.bool_or("is_dialog").alias("is_dialog"), F.min("word_id").alias("start_id"), F.max("word_id").alias("end_id"))

@@ -66,11 +66,6 @@ def morphemes(spark, folder):
     return features.morphemes(_forms(spark, folder), features.morpheme_dictionary(lines))
 
 
-@query()
-def stems(spark, folder):
-    return features.stems(_src(spark, folder)).drop("pos")
-
-
 @query(f"""with {T}, v as (select lower(ru_word) as term, min(length(ru_word)) as vector_id from glossary where ru_word is not null group by 1),
 b as (select t.word_id, word, normal_form from t left join m on m.word_id = t.word_id where word_type = 'ru'),
 e as (select word_id, unnest([0, 1, 2, 3, 4, 5]) as no, unnest([word, translate(word, 'ёЁ', 'еЕ'), lower(word), translate(lower(word), 'ёЁ', 'еЕ'), normal_form, translate(normal_form, 'ёЁ', 'еЕ')]) as term,
