@@ -20,6 +20,8 @@ from .abuse import clean_name
 TOKENIZER, BLOCK, SHARD = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 2048, 256
 #: A source is ordered by a hash whose first RANGE_BITS bits are its range; running sums go over ranges, then inside one.
 RANGE_BITS = 14
+#: Groups of shards whose source counts are drawn on the driver.
+GROUPS = 1024
 
 
 _PART = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
@@ -90,9 +92,9 @@ def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def blocks(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, block, doc_id, from_token, to_token): the documents of each source one behind the other in the order of
+    """(source, block, doc_id, from_token, to_token, offset): the documents of each source one behind the other in the order of
     a hash, cut into blocks of `block` tokens (the last one of a source may be shorter); tokens [from, to) of a
-    document lie in that block. Documents without tokens or source are in no block."""
+    document lie in that block, from its place `offset` on. Documents without tokens or source are in no block."""
     h = sizes.where("tokens > 0 and source is not null").withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.shiftrightunsigned("h", 64 - RANGE_BITS))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # 2 ** RANGE_BITS rows at most of each source.
@@ -106,6 +108,7 @@ def blocks(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
         "doc_id",
         F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("from_token"),
         (F.least("end", (F.col("block") + 1) * block) - F.col("start")).alias("to_token"),
+        F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("offset"),
     )
 
 
@@ -140,42 +143,89 @@ def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], slots
     return sum(quota.values()), quota
 
 
+def draw(rng: np.random.Generator, left: np.ndarray, count: int) -> np.ndarray:
+    """How many of `count` slots each source gets: multinomial, in proportion to what is left of each, and no more than that."""
+    got = np.zeros_like(left)
+    while count > 0:
+        rest = left - got
+        one = np.minimum(rng.multinomial(count, rest / rest.sum()), rest)
+        got += one
+        count -= int(one.sum())
+    return got
+
+
+def _shards(seed: int, size: int):
+    """(shard, slot, no, k) of groups of shards: each shard's source counts are drawn, then its slots are put in a random order;
+    k counts the slots of a source over all shards."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for first, slots, counts, before in zip(part["first"], part.slots, part.counts, part.before):
+                left, at = np.array(counts, np.int64), np.array(before, np.int64)
+                for shard in range(int(first), int(first) + -(-int(slots) // size)):
+                    count = min(size, int(left.sum()))
+                    rng = np.random.default_rng([seed, shard])
+                    own = draw(rng, left, count)
+                    no = np.repeat(np.arange(len(own)), own)
+                    k = np.arange(count) - np.repeat(np.cumsum(own) - own, own) + np.repeat(at, own)
+                    place = rng.permutation(count)
+                    left, at = left - own, at + own
+                    yield pd.DataFrame({"shard": shard, "slot": shard * size + place, "no": no, "k": k})
+
+    return run
+
+
 def mixture(cut_blocks: DataFrame, targets: DataFrame, slots: int | None = None, seed: int = 7) -> DataFrame:
     """(shard, slot, source, repetition, block, doc_id, from_token, to_token): what goes into each slot of the output.
 
-    targets: source, target_share, max_repeats: a short list, which comes to the driver, as do the numbers of blocks of
-    its sources. The source of each slot is drawn without replacement from the sources' quotas by a permutation of all
-    slots, so a shard's source counts are multinomial while the quotas hold exactly; the k-th slot of a source gets the
-    k-th block of that source's own permutation, a new one for each repetition, so no block is used more than
-    max_repeats times. Sources that are in one table only are in no slot."""
+    targets: source, target_share, max_repeats: a short list, which comes to the driver, as do the tokens of its sources and
+    the counts of at most GROUPS groups of shards. The source counts of each shard are multinomial, with the shares of
+    what is left of the sources' quotas, so that the quotas hold exactly. A source is a stream of its tokens, max_repeats
+    times over, cut into full blocks, of which the first as many as its quota are used; the k-th slot of a source gets
+    the k-th block in the order of the source's own pseudorandom permutation. So all slots but perhaps a source's last
+    hold equally many tokens, and no document is used more than max_repeats times. Sources that are in one table only
+    are in no slot. `block` is the block's place in the stream, `repetition` how often what stands there was used before."""
     spark = cut_blocks.sparkSession
     goal = _targets(targets)
-    counts = {r.source: r.n for r in cut_blocks.where(F.col("source").isin(list(goal))).groupBy("source").agg(F.max("block").alias("n")).collect()}
-    counts = {s: n + 1 for s, n in counts.items()}
-    total, quota = plan(counts, goal, slots)
-    # As many rows as targets.
-    rows, before = [], 0
-    for no, s in enumerate(sorted(quota)):
-        if quota[s]:
-            rows.append((s, no, before, before + quota[s], counts[s]))
-            before += quota[s]
-    drawn = spark.range(total).withColumn("rank", _permuted(F.col("id"), F.lit(max(1, total)), F.lit(seed)))
-    pick = None
-    for s, no, lo, hi, n in rows:
-        x = F.struct(F.lit(s).alias("source"), F.lit(no).alias("no"), F.lit(lo).alias("lo"), F.lit(n).alias("n"))
-        pick = F.when(F.col("rank") < hi, x) if pick is None else pick.when(F.col("rank") < hi, x)
-    if pick is None:
-        pick = F.lit(None).cast("struct<source:string,no:int,lo:int,n:int>")
-    placed = drawn.select("id", "rank", pick.alias("x")).select("id", "x.source", "x.no", "x.n", (F.col("rank") - F.col("x.lo")).alias("k"))
-    repetition = F.expr("cast(k div n as int)")
-    slot = placed.select(
-        F.expr(f"id div {SHARD}").alias("shard"),
-        F.col("id").alias("slot"),
-        "source",
-        repetition.alias("repetition"),
-        _permuted(F.col("k") % F.col("n"), F.col("n"), F.col("no") * 1000003 + repetition + seed + 1).alias("block"),
-    )
-    return slot.join(cut_blocks, ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "doc_id", "from_token", "to_token")
+    per = cut_blocks.where(F.col("source").isin(list(goal))).groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n"))
+    held = {r.source: r for r in per.groupBy("source").agg(F.max("n").alias("width"), F.sum("n").alias("tokens")).collect()}
+    width = max((r.width for r in held.values()), default=1)
+    tokens = {s: r.tokens for s, r in held.items()}
+    most = {s: -(-tokens[s] * (goal[s][1] or 0) // width) for s in held}
+    total, quota = plan(most, {s: (goal[s][0], 1) for s in most if most[s]}, slots)
+    names = [s for s in sorted(quota) if quota[s]]
+    # At most GROUPS rows.
+    left, first, rows, rng = np.array([quota[s] for s in names], np.int64), 0, [], np.random.default_rng(seed)
+    shards = -(-total // SHARD)
+    at = np.zeros_like(left)
+    for part in _ranges(shards, GROUPS):
+        count = int(min(len(part) * SHARD, left.sum()))
+        own = draw(rng, left, count)
+        rows.append((first, count, own.tolist(), at.tolist()))
+        left, at, first = left - own, at + own, first + len(part)
+    groups = spark.createDataFrame(rows if total else [], "first long, slots long, counts array<long>, before array<long>").repartition(max(1, len(rows)))
+    placed = groups.mapInPandas(_shards(seed, SHARD), "shard long, slot long, no int, k long")
+    own = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(quota[s]).cast("long").alias("quota"), F.lit(tokens[s]).cast("long").alias("tokens"), F.lit(tokens[s] * goal[s][1]).cast("long").alias("whole")) for s in names])
+    own = own if names else F.array().cast("array<struct<source:string,quota:bigint,tokens:bigint,whole:bigint>>")
+    slot = placed.withColumn("x", F.try_element_at(own, F.col("no") + 1)).select("shard", "slot", "x.*", _permuted(F.col("k"), F.col("x.quota"), F.col("no").cast("long") * 1000003 + seed + 1).alias("block"))
+    span = slot.withColumn("a", F.col("block") * width).withColumn("b", F.least(F.col("a") + width, "whole"))
+    # The block's place in the stream: in one repetition of the source or over the border of two or more.
+    times = span.withColumn("repetition", F.explode(F.expr("sequence(a div tokens, (b - 1) div tokens)")))
+    times = times.withColumn("a", F.greatest(F.col("a") - F.col("repetition") * F.col("tokens"), F.lit(0))).withColumn("b", F.least(F.col("b") - F.col("repetition") * F.col("tokens"), F.col("tokens")))
+    bases = times.withColumn("base", F.explode(F.expr(f"sequence(a div {width}, (b - 1) div {width})")))
+    bases = bases.withColumn("a", F.col("a") - F.col("base") * width).withColumn("b", F.col("b") - F.col("base") * width)
+    met = bases.join(cut_blocks.withColumnRenamed("block", "base"), ["source", "base"])
+    lo, hi = F.greatest("a", "offset"), F.least(F.col("b"), F.col("offset") + F.col("to_token") - F.col("from_token"))
+    cut_out = met.withColumn("lo", lo).withColumn("hi", hi).where("lo < hi")
+    return cut_out.select(
+        "shard", "slot", "source", F.col("repetition").cast("int").alias("repetition"), "block", "doc_id",
+        (F.col("from_token") + F.col("lo") - F.col("offset")).alias("from_token"), (F.col("from_token") + F.col("hi") - F.col("offset")).alias("to_token"),
+    )
+
+
+def _ranges(shards: int, groups: int) -> list[range]:
+    step = max(1, -(-shards // groups))
+    return [range(lo, min(shards, lo + step)) for lo in range(0, shards, step)]
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import abuse, align, groups, leaks, mixing, plain, sentences, terms
 from ..session import cut, table
@@ -196,6 +197,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
+@_query
+def p7_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a mix as large as the corpus: sources that their repeats don't let reach their share stay at their limit, the
+    others share out the rest."""
+    sizes = mixing.stored_sizes(table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+    targets = table(spark, folder, "mix_target", "source", "target_share", "max_repeats")
+    slots = -(-(sizes.agg(F.sum("tokens")).first()[0] or 0) // mixing.BLOCK)
+    return mixing.shares(mixing.mixture(cut(mixing.blocks(sizes)), targets, slots), sizes, targets)
+
+
 @_query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences of the Russian and the English edition of a chapter that translate each other."""

@@ -59,3 +59,45 @@ def test_pieces_give_the_same_tokens():
         for size in (7, 64):
             assert sum(len(own.encode_ordinary(p)) for p in mixing.pieces(t, size)) == (len(own.encode_ordinary(t)) if t else 0)
             assert "".join(mixing.pieces(t, size)) == (t or "")
+
+
+def test_slots_are_full_and_repeats_even(spark):
+    """All slots but perhaps a source's last hold equally many tokens; no token is used more often than allowed, and none twice more than another."""
+    t = spark.createDataFrame([("big", 0.2, 1), ("small", 0.8, 5)], "source string, target_share double, max_repeats int")
+    s = sizes(spark)
+    m = mixing.mixture(mixing.blocks(s, 64).cache(), t)
+    filled = [r.n for r in m.groupBy("slot").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n")).collect()]
+    assert max(filled) == 64 and sum(n != 64 for n in filled) <= 2  # a source's last slot
+    each = m.select("source", "doc_id", F.explode(F.expr("sequence(from_token, to_token - 1)")).alias("t")).groupBy("source", "doc_id", "t").count()
+    uses = {r.source: (r.lo, r.hi) for r in each.groupBy("source").agg(F.min("count").alias("lo"), F.max("count").alias("hi")).collect()}
+    assert uses["big"] == (1, 1) and uses["small"][1] <= 5 and uses["small"][1] - uses["small"][0] <= 1
+    got = {r.source: r.reached_share for r in mixing.shares(m, s, t).collect()}
+    assert abs(got["small"] - 0.8) < 0.005
+
+
+def test_sources_at_their_limit(spark):
+    """A mix larger than the repeats allow: the scarce source stays at its limit, the rest goes to the others."""
+    t = spark.createDataFrame([("big", 0.5, 9), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    s = sizes(spark)
+    own = {r.source: r.n for r in s.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    m = mixing.mixture(mixing.blocks(s, 64).cache(), t, 600)
+    got = {r.source: r.n for r in m.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n")).collect()}
+    assert got["small"] == own["small"] and got["big"] == (600 - -(-own["small"] // 64)) * 64
+
+
+def test_draws():
+    """Counts add up, keep to what is left and spread like a multinomial."""
+    rng = np.random.default_rng(1)
+    left = np.array([500, 300, 200, 0])
+    counts = np.array([mixing.draw(rng, left, 100) for _ in range(400)])
+    assert (counts.sum(1) == 100).all() and (counts <= left).all() and (counts[:, 3] == 0).all()
+    assert abs(counts[:, 0].mean() - 50) < 1.5 and 3 < counts[:, 0].std() < 7
+    assert mixing.draw(rng, np.array([3, 2]), 5).tolist() == [3, 2]
+
+
+def test_a_source_smaller_than_a_block(spark):
+    d = spark.createDataFrame([(1, "a", 3), (2, "b", 100)], "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("a", 0.1, 4), ("b", 0.9, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.mixture(mixing.blocks(d, 10), t)
+    got = {r.source: r.n for r in m.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n")).collect()}
+    assert got["a"] in (10, 12) and got["b"] >= 80
