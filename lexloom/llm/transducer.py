@@ -1,9 +1,11 @@
 """Sentence boundary rules, compiled into a finite transducer.
 
-A text is first read into symbols (`symbols`), each decided by at most CONTEXT characters around it:
-terminators with what follows them, quotation marks, brackets, dialogue dashes, paragraph breaks, Thai
-spaces. The transducer (`step`) has MODES x KINDS states: how the sentence began, and which quotation or
-bracket is open. `run_chunk` runs it from every start state at once, so a chunk of a long text becomes a
+A text is first read into symbols (`symbols`) of a finite alphabet: terminators with the class of what stands on either
+side (an abbreviation, an initial, a number; a capital, a digit, a dash), quotation marks, brackets, dialogue dashes, line
+breaks with the shape of the line, Thai spaces. Classes look at no more than CONTEXT characters, as the two automata of a
+bimachine would from the left and from the right; what they mean is decided by the rules alone (`verdict`, `ends_line`,
+`_rule`), which are compiled symbol by symbol into rows over all states (`compiled`). There are MODES x KINDS states: how
+the sentence began, and which quotation or bracket is open. `run_chunk` runs it from every start state at once, so a chunk of a long text becomes a
 state-transition function and a list of (position, mask of the start states that emit a boundary there);
 such functions compose associatively, whatever the order in which the chunks are processed.
 """
@@ -58,6 +60,11 @@ SYMBOL = re.compile(
     rf"|(?P<th>(?<=[{THAI}])[{BLANK}]+(?=[{THAI}]))"
 )
 CAN_BREAK = re.compile(f"[{CJK}{THAI}]")
+CJK_CHARACTER = re.compile(f"[{CJK}]")
+GAP, DASHES = re.compile(rf"[{BLANK}\n]*"), re.compile(rf"[{DASH}]+[{BLANK}\n]*")
+LINE_START = re.compile(rf"(?:^|\n)[{BLANK}]*$")
+SPEECH, GOES_ON = re.compile(rf"[—–―][{BLANK}]*[A-ZА-ЯЁ«“\d]"), re.compile(rf"[a-zа-яёß]|[—–―][{BLANK}\n]*[a-zа-яё]")
+TE = re.compile(r"т\.?\s*е$")
 VISIBLE = re.compile(rf"[^{BLANK}\n]")
 TOKEN_BEFORE = re.compile(r"(?:\w+\.)*\w+[ ]?$")
 
@@ -119,86 +126,124 @@ def line_width(shapes: list[tuple[int, int]], sizes: list[int]) -> int:
     return width if filled[width] >= max(2, 0.25 * lines) and beyond[width] <= 0.1 * lines else 0
 
 
-def _break(text: str, m: re.Match, width: int) -> bool:
-    """Does this line break end what stands before it, or does it merely wrap a line at the width?"""
-    gap = m.group()
-    first = gap.index("\n")
-    if gap.find("\n", first + 1) >= 0 or not gap.endswith("\n"):
-        return True  # a blank line, or an indented next line
-    line = text[text.rfind("\n", max(0, m.start() - CONTEXT), m.start()) + 1 : m.start()]
-    rest = text[m.end() : m.end() + 40]
-    if re.match(rf"[—–―][{BLANK}]*[A-ZА-ЯЁ«“\d]", rest):
-        return True
-    word = re.match(r"\S*", rest).group()
-    if line.rstrip()[-1:] not in TERMINATORS and word[:1].islower():
-        return False
-    # A wrapped line is filled: what is shorter although the next word had found room, or longer than any filled line, was broken on purpose.
-    shape = line_shape([line, rest])
-    return not (shape and shape[0][0] <= width <= shape[0][1])
+def left_class(text: str, at: int) -> tuple[str, bool, bool]:
+    """What stands before a terminator: (the class of its token, does a small letter, does a Chinese or Japanese character?).
 
-
-def _terminator(text: str, m: re.Match, width: int) -> tuple | None:
-    """The symbol of a terminator: ("T", follow, next place, list number?), None where it can't end a sentence."""
-    run, at, end = m.group(), m.start(), m.end()
+    Classes: start (of a line), initial, never (ends a sentence), number (only before one), maybe, te (т. е.), zb (z. B.),
+    item (a list's number), digits, other. They are found by a bounded look back, as an automaton from the left would."""
     before = text[at - 1] if at else " "
+    small, wide = before.isalpha() and before.islower(), bool(CJK_CHARACTER.match(before))
+    if LINE_START.search(text[max(0, at - 40) : at]):
+        return "start", small, wide
+    t = TOKEN_BEFORE.search(text, max(0, at - 24), at)
+    token = t.group().rstrip() if t else ""
+    low = token.lower()
+    last = low.rpartition(".")[2]
+    if len(last) == 1 and token[-1:].isupper() and not (before == " " and not t):
+        kind = "initial"
+    elif low in NEVER or last in NEVER:
+        kind = "never"
+    elif last in BEFORE_NUMBER:
+        kind = "number"
+    elif last == "т" or last == "е" and TE.search(text[max(0, at - 6) : at].lower()):
+        kind = "te"
+    elif low in ("z", "b", "z.b"):
+        kind = "zb"
+    elif last in MAY_END or low in MAY_END:
+        kind = "maybe"
+    elif token.isdigit():
+        k = at - len(token)
+        while k > 0 and text[k - 1] in " \t 　":
+            k -= 1
+        kind = "item" if len(token) <= 3 and (k == 0 or text[k - 1] == "\n") else "digits"
+    else:
+        kind = "other"
+    return kind, small, wide
+
+
+def right_class(text: str, end: int, width: int) -> tuple[str, str, int]:
+    """What stands behind a mark: (glued, spaced, wrapped or broken; the class of the next visible character; its place).
+
+    Classes: end, close, digit, upper, lower, caseless, pause (/,:;-), month, dash-lower, dash, quote-lower, quote, mark."""
     after = text[end] if end < len(text) else ""
-    if not after or after in "»”」』)）":
-        return None
-    if re.search(rf"(?:^|\n)[{BLANK}]*$", text[max(0, at - 40) : at]):
-        return None  # nothing stands before it that could end
-    wide = any(c in "。！？｡" for c in run)
-    if run.strip("…") == "" and (re.match(f"[{CJK}]", before) or re.match(f"[{CJK}]", after)):
-        return None
-    gap = re.compile(rf"[{BLANK}\n]*").match(text, end)
-    if "\n" in gap.group() and (b := SYMBOL.match(text, end)) and b.lastgroup == "br" and _break(text, b, width):
-        return None  # the break does it
-    nxt = gap.end()
+    if not after:
+        return "glued", "end", end
+    if after in "»”」』)）":
+        return "glued", "close", end
+    nxt = GAP.match(text, end).end()
+    gap = "spaced" if nxt > end else "glued"
+    if "\n" in text[end:nxt] and (b := SYMBOL.match(text, end)) and b.lastgroup == "br":
+        gap = "broken" if ends_line(*break_class(text, b, width)) else "wrapped"
     if nxt >= len(text):
-        return None
-    c, spaced = text[nxt], gap.end() > end
-    if wide:
-        return ("T", "cjk", nxt, False)
-    listed = False
-    if run == ".":
-        if not spaced and (after.isdigit() or after.islower() or after in "/,:;-"):
-            return None
-        t = TOKEN_BEFORE.search(text, max(0, at - 24), at)
-        token = t.group().rstrip() if t else ""
-        low = token.lower()
-        last = low.rpartition(".")[2]
-        if len(last) == 1 and token[-1:].isupper() and not (before == " " and not t):
-            return None  # an initial
-        if low in NEVER or last in NEVER:
-            return None
-        if last in BEFORE_NUMBER and c.isdigit():
-            return None
-        if last == "т" or last == "е" and re.search(r"т\.?\s*е$", text[max(0, at - 6) : at].lower()) or last in ("z", "b") and token.lower() in ("z", "b", "z.b"):
-            return None
-        if (last in MAY_END or low in MAY_END) and not (c.isupper() or c in "«“„—–"):
-            return None
-        if token.isdigit() and spaced:
-            word = re.match(r"\w*", text[nxt : nxt + 12]).group()
-            if word in GERMAN_MONTHS:
-                return None
-            k = at - len(token)
-            while k > 0 and text[k - 1] in " \t 　":
-                k -= 1
-            listed = len(token) <= 3 and (k == 0 or text[k - 1] == "\n")
+        return gap, "end", nxt
+    c = text[nxt]
     if c in "—–―" or c == "-" and text[nxt + 1 : nxt + 2].isspace():
-        d = re.compile(rf"[{DASH}]+[{BLANK}\n]*").match(text, nxt).end()
-        k = _cased(text[d]) if d < len(text) else "o"
-        return ("T", "dashlow" if k == "l" else "dashup", nxt, listed)
+        d = DASHES.match(text, nxt).end()
+        return gap, "dash-lower" if d < len(text) and _cased(text[d]) == "l" else "dash", nxt
     if c in OPEN or c in "\"'":
         k = _cased(text[nxt + 1]) if nxt + 1 < len(text) else "o"
-        return None if k == "l" else ("T", "up", nxt, listed)
-    k = _cased(c)
-    if k == "u":
-        if not spaced and (not before.isalpha() or not before.islower() or c.isdigit()):
-            return None
-        return ("T", "up", nxt, listed)
-    if k == "c":
-        return None if run[0] in ".…" and "।" not in run and "!" not in run and "?" not in run else ("T", "cjk" if "।" in run else "caseless", nxt, listed)
-    return None
+        return gap, "quote-lower" if k == "l" else "quote", nxt
+    if c.isdigit():
+        return gap, "digit", nxt
+    if re.match(r"\w*", text[nxt : nxt + 12]).group() in GERMAN_MONTHS:
+        return gap, "month", nxt
+    return gap, "pause" if c in "/,:;-" else {"u": "upper", "l": "lower", "c": "caseless", "o": "mark"}[_cased(c)], nxt
+
+
+def break_class(text: str, m: re.Match, width: int) -> tuple[bool, bool, bool, str]:
+    """Of a line break: (is there a blank or indented line, is the line filled to the width, does a terminator end it, what begins
+    the next line: dash (and a capital), lower, other)."""
+    gap = m.group()
+    open_ = gap.find("\n", gap.index("\n") + 1) >= 0 or not gap.endswith("\n")
+    line = text[text.rfind("\n", max(0, m.start() - CONTEXT), m.start()) + 1 : m.start()]
+    rest = text[m.end() : m.end() + 40]
+    shape = line_shape([line, rest])
+    filled = bool(shape) and shape[0][0] <= width <= shape[0][1]
+    begins = "dash" if SPEECH.match(rest) else "lower" if rest[:1].islower() else "other"
+    return open_, filled, line.rstrip()[-1:] in TERMINATORS, begins
+
+
+def ends_line(open_: bool, filled: bool, ended: bool, begins: str) -> bool:
+    """Does this line break end what stands before it, or does it merely wrap a line?
+
+    A wrapped line is filled: what is shorter although the next word had found room, or longer than any filled line, was
+    broken on purpose."""
+    if open_ or begins == "dash":
+        return True
+    return (ended or begins != "lower") and not filled
+
+
+def verdict(run: str, left: str, small: bool, wide_left: bool, gap: str, right: str, wide_right: bool) -> tuple[str | None, bool]:
+    """What a terminator does, by the classes on both sides: (None, up, caseless, cjk, dashlow or dashup; is it a list's number?).
+
+    run: dot, dots (…), wide, danda, strong (! or ? among them)."""
+    if right in ("end", "close") and gap == "glued" or left == "start":
+        return None, False
+    if run == "dots" and (wide_left or wide_right):
+        return None, False
+    if gap == "broken" or right == "end":
+        return None, False  # the break does it, or nothing follows
+    if run == "wide":
+        return "cjk", False
+    spaced, listed = gap != "glued", False
+    if run == "dot":
+        if not spaced and right in ("digit", "lower", "pause") or left in ("initial", "never", "te", "zb") or left == "number" and right == "digit":
+            return None, False
+        if left == "maybe" and right not in ("upper", "month", "dash", "dash-lower", "quote", "quote-lower"):
+            return None, False
+        if left in ("item", "digits") and spaced:
+            if right == "month":
+                return None, False
+            listed = left == "item"
+    if right in ("dash", "dash-lower"):
+        return "dashlow" if right == "dash-lower" else "dashup", listed
+    if right in ("quote", "quote-lower"):
+        return (None if right == "quote-lower" else "up"), listed
+    if right in ("upper", "month", "digit"):
+        return (None if not spaced and (not small or right == "digit") else "up"), listed
+    if right == "caseless":
+        return (None if run in ("dot", "dots") else "cjk" if run == "danda" else "caseless"), listed
+    return None, False
 
 
 def symbols(text: str, lo: int, hi: int, width: int = 0) -> list[tuple]:
@@ -219,13 +264,13 @@ def symbols(text: str, lo: int, hi: int, width: int = 0) -> list[tuple]:
         if what == "br":
             if at == lo and lo and flat[lo - 1] in "\n " + BLANK and re.search(rf"\n[{BLANK}\n]*$", flat[max(0, lo - CONTEXT) : lo]):
                 sym, nxt = ("B",), m.end()
-            elif _break(flat, m, width):
-                sym = ("B",)
-            elif at and flat[at - 1] in TERMINATORS and not re.match(rf"[a-zа-яёß]|[—–―][{BLANK}\n]*[a-zа-яё]", flat[m.end() : m.end() + 8]):
-                sym = ("W",)
+            else:
+                sym = ("L", *break_class(flat, m, width), at > 0 and flat[at - 1] in TERMINATORS, bool(GOES_ON.match(flat, m.end())))
         elif what == "t":
-            if got := _terminator(flat, m, width):
-                sym, nxt = ("T", got[1], got[3]), got[2]
+            run = m.group()
+            marks = "wide" if any(c in "。！？｡" for c in run) else "danda" if "।" in run else "dots" if not run.strip("…") else "dot" if run == "." else "strong"
+            gap, right, nxt = right_class(flat, m.end(), width)
+            sym = ("T", marks, *left_class(flat, at), gap, right, bool(CJK_CHARACTER.match(flat, m.end())))
         elif what == "da":
             sym = ("DA",)
         elif what == "th":
@@ -286,6 +331,9 @@ def _rule(mode: int, kind: int, sym: tuple, start: str) -> tuple[int, bool]:
     begun = {"q": Q, "d": D, "m": M, "n": N, "-": P}[start] * KINDS
     stay = mode * KINDS + kind
     what = sym[0]
+    if what == "L":
+        # A wrapped line may be enough to end a line of dialogue.
+        what = "B" if ends_line(*sym[1:5]) else "W" if sym[5] and not sym[6] else "-"
     if what == "V":
         return (begun, True) if mode == P else (stay, False)
     if mode == P:
@@ -293,12 +341,16 @@ def _rule(mode: int, kind: int, sym: tuple, start: str) -> tuple[int, bool]:
     emit = (begun, start != "-")
     if what == "B":
         return emit
-    if what == "W":  # perhaps a wrapped line: enough to end a line of dialogue
+    if what == "-":
+        return stay, False
+    if what == "W":
         return emit if mode in (D, A) and not kind else (stay, False)
     if what == "T":
         if kind:
             return stay, False
-        follow, listed = sym[1], sym[2]
+        follow, listed = verdict(*sym[1:])
+        if follow is None:
+            return stay, False
         if listed and mode == M:
             return N * KINDS, False
         if follow == "dashlow":
