@@ -17,6 +17,12 @@ FOREIGN = {
     "Κ": ("K", "К"), "Μ": ("M", "М"), "Ν": ("N", ""), "Ρ": ("P", "Р"), "Τ": ("T", "Т"), "Υ": ("Y", ""), "Χ": ("X", "Х"), "Γ": ("", "Г"),
     "Φ": ("", "Ф"), "α": ("a", "а"), "ρ": ("p", "р"), "ν": ("v", ""), "ε": ("", "е"), "υ": ("u", ""), "χ": ("x", "х"), "ı": ("i", ""),
 }
+# Letters of further scripts, Latin ones of other alphabets among them, that look like a Latin letter, in pairs; each looks like the
+# Russian letter that its Latin one looks like, if there is one.
+ALSO_LATIN = (
+    "ԛq ԝw ԜW ԚQ ԌG ɑa ɡg ϲc ϳj ϹC օo հh յj ցg ոn սu ՕO ՏS ՍU ᎪA ᏴB ᏟC ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᎳW ᏃZ ᎠD ᎡR "
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU ⲞO ⲟo ⲢP ⲣp ⲤC ⲥc ⲀA ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲦT ⲬX ᴏo ᴄc ᴠv ᴡw ᴢz ꜱs"
+).split()
 HYPHENS = "\u2010\u2011\u2043\u02d7\ufe63\uff0d"
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
@@ -67,6 +73,9 @@ def scripts() -> dict[str, tuple[str, str, str]]:
         out[a], out[b] = ("", a, b), ("", a, b)
     for c, (a, b) in FOREIGN.items():
         out[c] = ("", a or c, b or c)
+    russian = dict(zip(LATIN_LIKE, RUSSIAN_LIKE, strict=True))
+    for c, a in ALSO_LATIN:
+        out[c] = ("", a, russian.get(a, c))
     return out
 
 

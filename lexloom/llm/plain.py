@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut
 from . import glyphs
+from .sentences import dealt
 
 #: A word without any of these is plain already: a character beyond the usual plain ones, a blank at an end, letters of two alphabets.
 SUSPECT = "[^ -~а-яёА-ЯЁ«»—–…№“”’„°²½§]|^ | $|[A-Za-z].*[а-яёА-ЯЁ]|[а-яёА-ЯЁ].*[A-Za-z]"
@@ -40,7 +42,8 @@ def plain_forms(words: DataFrame, column: str) -> DataFrame:
     unmistakable letters show, then recomposed and put together. Nulls and '' have no row; a word of only invisible
     characters becomes ''. A piece that shows no script, or two, keeps its letters."""
     one, look, marks = _tables(words.sparkSession)
-    own = words.select(F.col(column).alias("word")).where(F.col("word").rlike(SUSPECT)).distinct()
+    # Few words, but much work for each.
+    own = dealt(words.select(F.col(column).alias("word")).where(F.col("word").rlike(SUSPECT)).distinct(), "word")
     points = own.select("word", F.expr(f"posexplode({_characters('word')}) as (place, c)"))
     parts = (
         points.join(one, "c", "left")
@@ -73,6 +76,7 @@ def plain_forms(words: DataFrame, column: str) -> DataFrame:
 
 def plain_words(tokens: DataFrame, key: str, column: str) -> DataFrame:
     """(key, plain_word) of each row whose word differs from its plain form; repeated rows count once, null words have none."""
-    forms = plain_forms(tokens, column)
-    dirty = tokens.select(key, F.col(column).alias("word")).where(F.col("word").rlike(SUSPECT))
+    # The rows that may change are looked for once.
+    dirty = cut(tokens.select(key, F.col(column).alias("word")).where(F.col("word").rlike(SUSPECT)))
+    forms = plain_forms(dirty, "word")
     return dirty.join(forms, "word").select(key, "plain_word").distinct()
