@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .glyphs import skeleton
 
 #: Words in a window: the shortest run that counts as a leak.
@@ -22,8 +22,8 @@ WINDOW = 10
 #: Independent walks; places sampled of each. A window equal to an item's collides in every walk, one with a changed word in
 #: about half of the cases; what the walks miss is met by the covering samples.
 WALKS, SAMPLES = 2, 8
-#: Item windows up to which their keys go to all executors; beyond, keys are joined by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Item windows, and bytes of their keys and words, up to which these go to all executors; beyond, keys are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 2_000_000, 256 << 20
 #: Characters worked on at a time; longer texts come in pieces that overlap.
 PIECE = 1 << 20
 #: Bits (a power of 2) of the largest filter of item keys; pairs of windows measured at a time.
@@ -233,27 +233,33 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     lists = item_texts.mapInPandas(_word_lists, "id long, words string, skip long, windows long")
     count = lists.agg(F.sum("windows")).first()[0] or 0
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    if count <= BROADCAST_WINDOWS:
+    keys = len(window_keys(np.zeros(WINDOW, np.uint64), np.zeros(1, np.int64), max_edits))
+    # A window has a key and its place for each of its keys, a start, an id, and about a word of its own.
+    if count <= BROADCAST_WINDOWS and count * (12 * keys + 96) <= BROADCAST_BYTES:
         held = spark.sparkContext.broadcast(_index(lists.select("id", "words", "skip").toPandas(), max_edits))
         found = spread(docs).mapInPandas(_looking_up(held, max_edits), "doc_id long, item_id long, doc_words string, edits int")
     else:
         item_windows = item_texts.mapInPandas(_windows(max_edits), "id long, key long, words string").distinct()
-        bits = _filter_bits(count * len(window_keys(np.zeros(WINDOW, np.uint64), np.zeros(1, np.int64), max_edits)))
+        bits = _filter_bits(count * keys)
         at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
         # At most 2 ** FILTER / 64 rows come back.
         full = item_windows.groupBy(F.shiftright(at, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toPandas()
         held = np.zeros(1 << bits - 6, np.uint64)
         held[full["at"].to_numpy()] = full.bits.to_numpy().view(np.uint64)
-        d = spread(docs).mapInPandas(_windows(max_edits, spark.sparkContext.broadcast(held)), "id long, key long, words string").toDF("doc_id", "key", "doc_words")
+        d = cut(spread(docs).mapInPandas(_windows(max_edits, spark.sparkContext.broadcast(held)), "id long, key long, words string").toDF("doc_id", "key", "doc_words"))
         i = item_windows.toDF("item_id", "key", "item_words")
         measure = F.pandas_udf(lambda a, b: pd.Series([_near(x.split(" "), y.split(" "), max_edits) for x, y in zip(a, b)], dtype="int32"), "int")
-        found = (
-            d.join(i, "key")
-            .select("doc_id", "item_id", "doc_words", "item_words")
+        # Equal windows are one class: classes meet and are measured once, however many documents or items hold them.
+        near = (
+            d.select("key", "doc_words")
+            .distinct()
+            .join(i.select("key", "item_words").distinct(), "key")
+            .select("doc_words", "item_words")
             .distinct()
             .withColumn("edits", F.when(F.col("doc_words") == F.col("item_words"), F.lit(0)).otherwise(measure("doc_words", "item_words")))
             .where(F.col("edits") <= max_edits)
         )
+        found = d.select("doc_id", "doc_words").distinct().join(near, "doc_words").join(i.select("item_id", "item_words").distinct(), "item_words")
     return found.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_words").alias("windows"), F.min("edits").alias("edits"))
 
 

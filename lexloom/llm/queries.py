@@ -33,20 +33,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return plain.plain_words(table(spark, folder, "src", "word_id", "word"), "word_id", "word")
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_item", "item_id", "text"), "item_id", "text")
+def _leaks(spark: SparkSession, folder: str, max_edits: int) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_item", "item_id", "text"), "item_id", "text", max_edits)
 
 
 @_query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least ten consecutive words of a test item: (doc_id, item_id)."""
-    return _leaks(spark, folder).where("edits = 0").select("doc_id", "item_id")
+    return _leaks(spark, folder, 0).select("doc_id", "item_id")
 
 
 @_query
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """The same with slightly changed windows: how many windows are shared and how close the closest is."""
-    return _leaks(spark, folder)
+    return _leaks(spark, folder, 2)
 
 
 def _terms(spark: SparkSession, folder: str) -> DataFrame:
