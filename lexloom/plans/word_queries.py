@@ -161,7 +161,13 @@ def unknown_words(spark, folder):
     return checks.spelling(_src(spark, folder), _dictionary(spark, folder)).select("word_id")
 
 
-@query()
+#: Russian letters as single bytes, as DuckDB measures edits in bytes.
+BYTES = "translate({}, 'абвгдежзийклмнопрстуфхцчшщъыьэюяё′', 'abcdefghijklmnopqrstuvwxyz012345678')"
+
+
+@query(f"""with {T}, g as (select distinct lower(ru_word) as w from glossary where ru_word is not null), b as (select word_id, lower(word) as w from t where word_type = 'ru' and word is not null and lower(word) not in (select w from g)),
+u as (select distinct w from b), p as (select u.w, g.w as good, levenshtein({BYTES.format('u.w')}, {BYTES.format('g.w')}) as d from u join g on abs(length(u.w) - length(g.w)) <= 1),
+l as (select w, list(good order by d, good)[1:3] as suggest from p where d <= 1 group by w) select word_id, coalesce(suggest, []::varchar[]) as suggest from b left join l using (w)""")
 def spelling_suggestions(spark, folder):
     return checks.spelling(_src(spark, folder), _dictionary(spark, folder)).select("word_id", "suggest")
 
