@@ -118,6 +118,17 @@ def _small() -> dict[int, str]:
     return str.maketrans("внкмту", "bhkmty")
 
 
+def folding() -> tuple[dict[str, str], dict[str, str]]:
+    """What skeleton replaces before it lower-cases: characters by one or none, and the few by several."""
+    table = {chr(c): d for c, d in _folding().items() if chr(c) != d}
+    return {c: d for c, d in table.items() if len(d) < 2}, {c: d for c, d in table.items() if len(d) > 1}
+
+
+def small() -> dict[str, str]:
+    """What skeleton replaces after it has lower-cased."""
+    return {chr(c): chr(d) for c, d in _small().items()}
+
+
 def skeleton(text: str) -> str:
     """A form in which texts that differ in case, marks (so ё = е), width, invisible or look-alike characters are equal.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, align, groups, leaks, mixing, plain, sentences, terms
+from . import abuse, align, glyphs, groups, leaks, mixing, plain, sentences, terms
 from ..session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,28 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return plain.plain_words(table(spark, folder, "src", "word_id", "word"), "word_id", "word")
 
 
+def _p4_sql() -> str:
+    """The same forms by joining every character of every word, with the composition left to the database."""
+    quote = lambda x: x.replace("'", "''")
+    one = ", ".join(f"('{quote(c)}', '{quote(d)}')" for c, d in glyphs.single().items() if c != "\0")
+    look = glyphs.scripts()
+    shows = lambda script: "".join(c for c, (s, _, _) in look.items() if s == script)
+    as_ = lambda k: f"translate(piece, '{''.join(c for c in look if look[c][k] != c)}', '{''.join(x[k] for c, x in look.items() if x[k] != c)}')"
+    return f"""
+with one(c, d) as (values {one}), w as (select distinct word from src where word is not null),
+ ch as (select word, substr(word, i, 1) as c, i from (select word, unnest(range(1, length(word) + 1)) as i from w)),
+ f as (select word, string_agg(coalesce(d, ch.c), '' order by i) as flat from ch left join one on one.c = ch.c group by word),
+ p as (select word, unnest(string_split(flat, '-')) as piece, generate_subscripts(string_split(flat, '-'), 1) as k from f),
+ s as (select *, regexp_matches(piece, '[{shows("L")}]') as l, regexp_matches(piece, '[{shows("R")}]') as r from p),
+ t as (select word, k, case when l and not r then {as_(1)} when r and not l then {as_(2)} else piece end as piece from s),
+ u as (select word, trim(nfc_normalize(string_agg(piece, '-' order by k)), ' ') as plain_word from t group by word)
+select distinct word_id, plain_word from src join u using (word) where plain_word <> word
+"""
+
+
+SQL["p4_found"] = _p4_sql()
+
+
 def _leaks(spark: SparkSession, folder: str, max_edits: int) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_item", "item_id", "text"), "item_id", "text", max_edits)
 
@@ -43,6 +65,27 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder, 0).select("doc_id", "item_id")
 
 
+def _p6_sql() -> str:
+    """The same by an equality join of all windows: words of folded texts, folding as one translation of single characters."""
+    table_, several = glyphs.folding()
+    one = {c: d for c, d in table_.items() if len(d) == 1}
+    gone = "".join(c for c, d in table_.items() if not d)
+    quote = lambda x: x.replace("'", "''")
+    folded = f"translate(text, '{quote(''.join(one) + gone)}', '{quote(''.join(one.values()))}')"
+    for c, d in several.items():
+        folded = f"replace({folded}, '{quote(c)}', '{quote(d)}')"
+    small = glyphs.small()
+    joined = r"regexp_replace(text, '([\p{L}\p{N}_])[-\x{2010}\x{2011}\x{ad}][ \t]*\r?\n[\s>]*', '\1', 'g')"
+    words = f"regexp_extract_all(translate(lower(folded), '{''.join(small)}', '{''.join(small.values())}'), '[\\p{{L}}\\p{{N}}]+')"
+    windows = lambda name, key: f"""{name}1 as (select distinct {key} as id, {joined} as text from {name} where {key} is not null and text is not null),
+ {name}2 as (select id, {folded} as folded from {name}1), {name}3 as (select id, {words} as w from {name}2),
+ {name}4 as (select distinct id, array_to_string(w[k : k + 9], ' ') as g from (select id, w, unnest(range(1, len(w) - 8)) as k from {name}3 where len(w) >= 10))"""
+    return f"with {windows('documents', 'doc_id')}, {windows('eval_item', 'item_id')} select distinct d.id as doc_id, i.id as item_id from documents4 d join eval_item4 i using (g)"
+
+
+SQL["p6_found"] = _p6_sql()
+
+
 @_query
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """The same with slightly changed windows: how many windows are shared and how close the closest is."""
