@@ -80,6 +80,52 @@ def dense_ids(df: DataFrame, group: Cols, columns: Cols, offset: int = 0) -> Dat
     return df.withColumns({c: F.dense_rank().over(Window.partitionBy(*group).orderBy(c)) - 1 + F.lit(offset) for c in columns})
 
 
+#: Values of a numeric order that are worked on in one place.
+BLOCK = 1 << 16
+
+
+def _met(a: DataFrame, b: DataFrame, keys: Cols) -> DataFrame:
+    """Left join in which null keys meet null keys; the columns of a and those of b that are no keys."""
+    same = reduce(lambda x, y: x & y, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+    return a.alias("a").join(b.alias("b"), same, "left").select("a.*", *[F.col(f"b.`{c}`") for c in b.columns if c not in keys])
+
+
+def dense_rank_in(df: DataFrame, group: Cols, column: str, name: str) -> DataFrame:
+    """1-based dense rank of a whole number in its group, nulls first: inside ranges of BLOCK values, and a running sum over the
+    ranges (a row each), so that no group is one task."""
+    keys = [*group, "_block"]
+    own = df.withColumn("_block", F.floor(F.col(column) / BLOCK))
+    inside = own.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(column)))
+    sizes = inside.groupBy(*keys).agg(F.max("_rank").alias("_size"))
+    before = sizes.select(*keys, (F.sum("_size").over(Window.partitionBy(*group).orderBy("_block")) - F.col("_size")).alias("_before"))
+    return _met(inside, before, keys).withColumn(name, F.col("_rank") + F.coalesce("_before", F.lit(0))).drop("_block", "_rank", "_before")
+
+
+def running_sum_in(df: DataFrame, group: Cols, order: str, value: Column, name: str) -> DataFrame:
+    """Sum of a value over the rows of the group up to this one in a whole-number order, likewise in two levels."""
+    keys = [*group, "_block"]
+    own = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn("_value", value)
+    inside = own.withColumn("_sum", F.sum("_value").over(Window.partitionBy(*keys).orderBy(order)))
+    sizes = own.groupBy(*keys).agg(F.sum("_value").alias("_size"))
+    before = sizes.select(*keys, (F.sum("_size").over(Window.partitionBy(*group).orderBy("_block")) - F.col("_size")).alias("_before"))
+    return _met(inside, before, keys).withColumn(name, F.col("_sum") + F.coalesce("_before", F.lit(0))).drop("_block", "_value", "_sum", "_before")
+
+
+def with_margin(df: DataFrame, group: Cols, order: str, before: int) -> DataFrame:
+    """df with _block, a range of BLOCK values of the order, and _own: besides its own rows each range is given copies (_own =
+    false) of the `before` rows of its group that stand before it. What looks back no further may be done inside (group, _block)."""
+    own = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    w = Window.partitionBy(*group, "_block").orderBy(F.desc(order))
+    row = F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("_r"))
+    tails = own.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= before).groupBy(*group, "_block").agg(F.sort_array(F.collect_list(row)).alias("_tail"))
+    later = Window.partitionBy(*group).orderBy("_block")
+    # A row for each range of a group; as none is empty, `before` of them hold all rows that are needed.
+    joined = F.concat(*[F.coalesce(F.lag("_tail", k).over(later), F.array().cast(tails.schema["_tail"].dataType)) for k in range(before, 0, -1)])
+    held = tails.withColumn("_m", joined).select(F.col("_block").alias("_b"), F.explode(F.slice("_m", F.greatest(F.lit(1), F.size("_m") - before + 1), F.lit(before))).alias("_x"))
+    copies = held.select("_x._r.*", F.col("_b").alias("_block"), F.lit(False).alias("_own"))
+    return own.withColumn("_own", F.lit(True)).unionByName(copies)
+
+
 def concat_frames(*frames: DataFrame) -> DataFrame:
     """UNION ALL of frames whose columns differ (P20)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

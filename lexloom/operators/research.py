@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_capitalized
+from .relational import dense_rank_in, running_sum_in, with_margin
 
 KEY = ["file_id", "word_id"]
 
@@ -90,10 +91,9 @@ def accepted(scored: DataFrame) -> DataFrame:
 def distances(pairs: DataFrame, src: DataFrame) -> DataFrame:
     """Of pairs (file_id, word_id, candidate_id): words between that are no punctuation, sentences and paragraphs between,
     candidates between. By prefix counts; nothing is scanned per pair."""
-    n = F.sum((F.col("word_type") != "punct").cast("int")).over(Window.partitionBy("file_id").orderBy("word_id"))
-    s = F.dense_rank().over(Window.partitionBy("file_id").orderBy("sentence_id"))
-    g = F.dense_rank().over(Window.partitionBy("file_id").orderBy("paragraph_id"))
-    at = src.select("file_id", "word_id", F.coalesce(F.col("word_type"), F.lit("unk")).alias("word_type"), "sentence_id", "paragraph_id").withColumn("n", n).withColumn("s", s).withColumn("g", g)
+    at = src.select("file_id", "word_id", F.coalesce(F.col("word_type"), F.lit("unk")).alias("word_type"), "sentence_id", "paragraph_id")
+    at = running_sum_in(at, ["file_id"], "word_id", (F.col("word_type") != "punct").cast("int"), "n")
+    at = dense_rank_in(dense_rank_in(at, ["file_id"], "sentence_id", "s"), ["file_id"], "paragraph_id", "g")
     a = at.select("file_id", "word_id", F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("g").alias("g1"))
     b = at.select("file_id", F.col("word_id").alias("candidate_id"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("g").alias("g2"), F.col("word_type").alias("t2"))
     j = pairs.select("file_id", "word_id", "candidate_id").join(a, ["file_id", "word_id"]).join(b, ["file_id", "candidate_id"])
@@ -112,9 +112,10 @@ def cooccurrence(words: DataFrame, reach: int = 15, weighted: bool = False) -> D
     """(a, b, n): how often words stand within `reach` places of each other in a file; a <= b. weighted: sum of 1 / distance.
 
     words: file_id, word_id, word. Each word looks at the `reach` words before it by lags: linear in the text."""
-    w = Window.partitionBy("file_id").orderBy("word_id")
+    own = with_margin(words.select("file_id", "word_id", "word"), ["file_id"], "word_id", reach)
+    w = Window.partitionBy("file_id", "_block").orderBy("word_id")
     before = F.array(*[F.struct(F.lit(d).alias("d"), F.lag("word", d).over(w).alias("o")) for d in range(1, reach + 1)])
-    each = words.withColumn("_b", before).select("word", F.explode("_b").alias("x")).where("x.o is not null and word is not null")
+    each = own.withColumn("_b", before).where("_own").select("word", F.explode("_b").alias("x")).where("x.o is not null and word is not null")
     a, b = F.least("word", "x.o"), F.greatest("word", "x.o")
     n = F.sum(1 / F.col("x.d")) if weighted else F.count(F.lit(1))
     return each.select(a.alias("a"), b.alias("b"), "x").groupBy("a", "b").agg(n.alias("n"))

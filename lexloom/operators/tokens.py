@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from .packing import packs
+from .relational import dense_rank_in
 
 #: Word ids in a block of text that is put together in one place.
 TEXT_BLOCK = 4096
@@ -86,9 +87,12 @@ def record_stats(tokens: DataFrame, key: str) -> DataFrame:
 def reset_ids(tokens: DataFrame, key: str, offset: int = 0, originals: bool = True) -> DataFrame:
     """Dense ids from `offset` on in each record; the old ones stay as original_*, `updated` is false."""
     old = {f"original_{c}": F.col(c) for c in ID_COLUMNS} if originals else {}
-    new = {c: (F.dense_rank().over(Window.partitionBy(key).orderBy(c)) - 1 + F.lit(offset)).cast("long") for c in ID_COLUMNS}
-    # Null ids rank first in Spark; they stay null.
-    return tokens.withColumns(old).withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in new.items()}).withColumn("updated", F.lit(False))
+    out = tokens.withColumns(old)
+    for c in ID_COLUMNS:
+        out = dense_rank_in(out, [key], c, "_new")
+        # Null ids rank first; they stay null.
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col("_new") - 1 + F.lit(offset)).cast("long")).drop("_new")
+    return out.withColumn("updated", F.lit(False))
 
 
 def invalid_ids(tokens: DataFrame) -> DataFrame:
