@@ -1,6 +1,6 @@
 """Greedy packing of rows in order, in parallel: however long a group is, no task folds over all of it.
 
-Rows go to ranges of (group, order). How a range goes on depends only on how full the pack is that reaches into it, and
+Rows go to ranges of the order. How a range goes on depends only on how full the pack is that reaches into it, and
 that only on where its first new pack begins: so each range is worked on from every place where that can be, its
 outcomes are composed along the group (a row per range), and the ranges are then numbered independently.
 """
@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-_SUMMARY = "_range int, total long, bounds array<long>, fills array<long>, packs array<long>"
+#: Values of the order that are worked on in one place.
+BLOCK = 1 << 16
+_SUMMARY = "_range long, total long, bounds array<long>, fills array<long>, packs array<long>"
 
 
 def _next(sums: np.ndarray, size: int, over: bool) -> np.ndarray:
@@ -61,19 +61,20 @@ def packs(rows: DataFrame, group: str, order: str, units: str, size: int, over:
     """(group, order, pack): rows of a group packed greedily in order, pack = 0, 1, ..
 
     Without `over` a pack holds fewer than `size` units, but for single rows of that many or more; with it a pack closes when it
-    reaches `size`. `order` is unique within the group; null groups are one group, null units count 0."""
-    ranged = cut(
-        rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(units).cast("long"), F.lit(0)).alias("u"))
-        .repartitionByRange("g", "o")
-        .sortWithinPartitions("g", "o")
-        .withColumn("_range", F.spark_partition_id())
-    )
+    reaches `size`. `order` is a whole number, unique within the group; null groups are one group, null units count 0."""
+    ranged = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(units).cast("long"), F.lit(0)).alias("u")).withColumn("_range", F.floor(F.col("o") / BLOCK))
     kinds = dict(ranged.dtypes)
+    # At most BLOCK rows in each.
+    lists = ranged.groupBy("g", "_range").agg(F.sort_array(F.collect_list(F.struct("o", "u"))).alias("items"))
 
-    def summed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        sums = np.concatenate([[0], part.sort_values("o").u.to_numpy().cumsum()])
-        starts, fills, counts = _outcomes(sums, size, over)
-        return pd.DataFrame([(key[0], int(key[1]), int(sums[-1]), [int(sums[s]) for s in starts], fills, counts)], columns=["g", "_range", "total", "bounds", "fills", "packs"])
+    def summed(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in pieces:
+            out = []
+            for items in piece.units:
+                sums = np.concatenate([[0], np.asarray(items, np.int64).cumsum()])
+                starts, fills, counts = _outcomes(sums, size, over)
+                out.append((int(sums[-1]), [int(sums[s]) for s in starts], fills, counts))
+            yield pd.concat([piece[["g", "_range"]].reset_index(drop=True), pd.DataFrame(out, columns=["total", "bounds", "fills", "packs"])], axis=1)
 
     def composed(part: pd.DataFrame) -> pd.DataFrame:
         """How full the open pack is and how many are closed before each range."""
@@ -97,13 +98,13 @@ def packs(rows: DataFrame, group: str, order: str, units: str, size: int, over:
             begun = True
         return pd.DataFrame(out, columns=["g", "_range", "fill", "done", "begun"])
 
-    parts = ranged.groupBy("g", "_range").applyInPandas(summed, f"g {kinds['g']}, {_SUMMARY}")
+    parts = lists.select("g", "_range", F.transform("items", lambda x: x["u"]).alias("units")).mapInPandas(summed, f"g {kinds['g']}, {_SUMMARY}")
     # A row for each range that a group reaches into.
-    states = parts.groupBy("g").applyInPandas(composed, f"g {kinds['g']}, _range int, fill long, done long, begun boolean")
+    states = parts.groupBy("g").applyInPandas(composed, f"g {kinds['g']}, _range long, fill long, done long, begun boolean")
 
     def numbered(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in pieces:
-            for items, fill, done, begun in zip(piece["items"], piece.fill, piece.done, piece.begun):
+            for g, items, fill, done, begun in zip(piece.g, piece["items"], piece.fill, piece.done, piece.begun):
                 units_ = np.array([x["u"] for x in items], np.int64)
                 sums = np.concatenate([[0], units_.cumsum()])
                 follow = _next(sums, size, over)
@@ -113,10 +114,8 @@ def packs(rows: DataFrame, group: str, order: str, units: str, size: int, over:
                     starts.append(at)
                     at = int(follow[at])
                 no = done - 1 + np.searchsorted(starts, np.arange(len(units_)), "right")
-                yield pd.DataFrame({"g": [x["g"] for x in items], "o": [x["o"] for x in items], "pack": no})
+                yield pd.DataFrame({"g": [g] * len(items), "o": [x["o"] for x in items], "pack": no})
 
-    # A range is as large as a partition.
-    lists = ranged.groupBy("g", "_range").agg(F.sort_array(F.collect_list(F.struct("o", "u", "g"))).alias("items"))
     held = lists.withColumn("_g", F.struct("g")).join(states.withColumn("_g", F.struct("g")).drop("g"), ["_g", "_range"])
-    out = held.select("items", "fill", "done", "begun").mapInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, pack long")
+    out = held.select("g", "items", "fill", "done", "begun").mapInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, pack long")
     return out.select(F.col("g").alias(group), F.col("o").alias(order), F.col("pack").cast("int").alias("pack"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lexloom.operators import packing
 from lexloom.operators.packing import packs
 
 
@@ -20,7 +21,9 @@ def brute(rows, size, over):
 
 @pytest.mark.parametrize("over", [False, True])
 @pytest.mark.parametrize("size", [1, 7, 40, 10_000])
-def test_against_a_loop(spark, over, size):
+@pytest.mark.parametrize("block", [16, 1 << 16])
+def test_against_a_loop(spark, monkeypatch, over, size, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
     rng = random.Random(size)
     rows = [(g, o, rng.choice([1, 2, 3, 5, 9, 60])) for g, n in (("hot", 700), ("b", 40), ("c", 1), (None, 30)) for o in range(n)]
     rng.shuffle(rows)
