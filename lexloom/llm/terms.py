@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Stands for "no further token" in a suffix; sorts before every token.
 END = ""
 #: A term is spread over so many places by its records, so that a frequent one is no single task.
@@ -190,4 +192,5 @@ def corpus_ngrams(tokens: DataFrame, length: int) -> DataFrame:
     the words joined by a blank. One occurrence per distinct word_id; nulls are left out, so their neighbours meet. A file
     is followed in the order of word_id, wherever its rows stand."""
     met = tokens.where("word_id is not null and file_id is not null").groupBy("word_id").agg(F.max("file_id").alias("file_id"), F.max("word").alias("word"))
-    return term_counts(met, "word_id", "word", "file_id", length)
+    # Read for the ranges' own tokens, for their first ones and again for those.
+    return term_counts(cut(met), "word_id", "word", "file_id", length)
