@@ -13,6 +13,7 @@ from ..operators import features, sampling
 from ..operators import tokens as TK
 from ..session import shared_folder, table
 from ..sources import corpus as C
+from ..sources import formats
 from .registry import query
 
 #: The files that stand in both tables, and the tokens, in SQL.
@@ -249,6 +250,22 @@ def corpus_zip(spark, folder):
     return out
 
 
+@query("""with b as (select file_id, min(content) as content, coalesce(min(name), '?') as name from book where content is not null group by file_id)
+select file_id || '-0' as file_id, md5(name) as header, 3 as token_count, cast(65 as bigint) as character_count from b""")
+def folder_corpus(spark, folder):
+    """A folder of text files read, parsed, tokenized and written as a corpus, with ids of a factory's making."""
+    b = table(spark, folder, "book", "file_id", "name", "content").where("content is not null").groupBy("file_id").agg(F.min("content").alias("content"), F.coalesce(F.min("name"), F.lit("?")).alias("name"))
+    text = F.concat(F.lit("# "), F.md5("name"), F.lit("\n\n"), F.md5("content"), F.lit("\n"), F.md5("file_id"), F.lit("."))
+    own = _at(spark, folder, "from_folder")
+    formats.write_markdown(b.select(F.concat("file_id", F.lit(".txt")).alias("filename"), text.alias("markdown")), f"{own.path}_texts")
+    # Spark names the files in each folder; their parts are tags as well.
+    names = ["file", *(f"part_{k}" for k in range(7))]
+    made = F.concat_ws("-", F.regexp_replace(F.col("tags")["file"], "^file=|[.]md$", ""), "part_index")
+    parsed = formats.read_markdown(spark, f"{own.path}_texts", names, ids=made)
+    own.write(formats.markdown_tokens(parsed), parsed.select("file_id", "tags"), "overwrite")
+    return own.toc().select("file_id", F.col("tags")["header_0"].alias("header"), F.col("token_count").cast("int").alias("token_count"), "character_count")
+
+
 @query("""with w as (select unnest(['Была', 'весна', '.']) as word, unnest([0, 1, 2]) as word_id)
 select 'text' as kind, word_id, word, word <> '.' as is_word from w union all select 'words', word_id, word, word <> '.' from w union all select 'frame', word_id, word, word <> '.' from w union all select 'bundle', word_id, word, word <> '.' from w""")
 def bundles_of_anything(spark, folder):

@@ -177,6 +177,19 @@ def token_alignment(spark, folder):
     return alignment.aligned_tokens(words("retell"), words("summary"), "chapter_id")
 
 
+@query("""with recursive c as (select distinct chapter_id, retell, summary from chapter_info where retell is not null and summary is not null and chapter_id is not null),
+w as (select chapter_id, regexp_extract_all(lower(retell), '[\\p{L}\\p{N}]+') as a, regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+') as b from c),
+r as (select chapter_id, a, b, 0 as i, list_transform(range(0, len(b) + 1), lambda j: 3 * j) as d from w where len(a) + len(b) > 0
+ union all select chapter_id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(t[1:j], lambda x, k: x - 3 * k)) + 3 * j)
+ from (select *, list_transform(range(1, len(b) + 2), lambda j: case when j = 1 then i + 1 else least(d[j] + 1, d[j - 1] + case when a[i + 1] = b[j - 1] then 0 else 2 end) end) as t from r where i < len(a)))
+select chapter_id, cast(d[len(b) + 1] as bigint) as cost from r where i = len(a)""")
+def alignment_costs(spark, folder):
+    """What the cheapest token alignment of each retelling with its summary costs."""
+    path = token_alignment(spark, folder)
+    cost = F.when(F.col("place_a") < 0, 3).when(F.col("place_b") < 0, 1).when(F.col("status") == "Transited", 2).otherwise(0)
+    return path.where("chapter_id is not null").groupBy("chapter_id").agg(F.sum(cost).alias("cost"))
+
+
 @query()
 def monotone_matching(spark, folder):
     """Monotone matching of all vectors of two labels, by place."""

@@ -90,8 +90,9 @@ def name_tags(path: str, schema: Sequence[str]) -> dict[str, str]:
     return dict(zip(schema, tags))
 
 
-def parse_markdown(files: DataFrame, schema: Sequence[str]) -> DataFrame:
-    """(filename, part_index, file_id, tags map, text) of files (filename, text): one row per block."""
+def parse_markdown(files: DataFrame, schema: Sequence[str], ids: Column | None = None) -> DataFrame:
+    """(filename, part_index, file_id, tags map, text) of files (filename, text): one row per block. ids: how a block's id is made
+    of the other columns, a hash of name and number if none is given."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -102,15 +103,15 @@ def parse_markdown(files: DataFrame, schema: Sequence[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["filename", "part_index", "tags", "text"])
 
     out = files.select("filename", "text").mapInPandas(run, "filename string, part_index int, tags map<string,string>, text string")
-    return out.withColumn("file_id", F.sha2(F.concat_ws("#", "filename", "part_index"), 256))
+    return out.withColumn("file_id", ids if ids is not None else F.sha2(F.concat_ws("#", "filename", "part_index"), 256))
 
 
-def read_markdown(spark: SparkSession, folder: str, schema: Sequence[str], take: int | None = None) -> DataFrame:
+def read_markdown(spark: SparkSession, folder: str, schema: Sequence[str], take: int | None = None, ids: Column | None = None) -> DataFrame:
     """All text files under a folder, parsed; `take` limits the number of files (the first by name)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
     rel = F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/")) + "/", "")
     files = raw.select(rel.alias("filename"), F.decode("content", "UTF-8").alias("text"))
-    return parse_markdown(files.orderBy("filename").limit(take) if take else files, schema)
+    return parse_markdown(files.orderBy("filename").limit(take) if take else files, schema, ids)
 
 
 def markdown_tokens(parsed: DataFrame, language: str = "ru") -> DataFrame:
