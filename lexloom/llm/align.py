@@ -6,6 +6,7 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ..session import cut
 from .sentences import dealt, sentence_texts
 
 #: Rounds of expectation-maximization; association below which a pair of words is not a translation (Dice); how sure a
-#: length bead must be; chapters that may share an anchor that tells chapters apart; least score of a pair.
-ROUNDS, DICE, SURE, ANCHOR_CHAPTERS, LEAST = 4, 0.03, 0.75, 3, 0.62
+#: length bead must be; how alike the anchors of two chapters are that share none of their own; least score of a pair.
+ROUNDS, DICE, SURE, ALIKE, LEAST = 4, 0.03, 0.75, 0.5, 0.62
 #: How much a relation that names two chapters counts, in anchors that only they share.
 NAMED = 4.0
 
@@ -86,36 +87,75 @@ def named_pairs(own: DataFrame, relation: DataFrame) -> DataFrame:
     return edges.join(ru, "x").join(en, "y").select("ru", "en", "book_ru", "book_en").distinct()
 
 
+def _met(words: list[tuple[int, str, bool]], others: list[tuple[int, str, bool]], named: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The chapters of two editions that are the same one, by (book, anchor, sure) of both and the pairs that a relation names.
+
+    What is surely a name or a number counts against a pair also if the other edition never has it."""
+    held: tuple[dict[str, list[int]], dict[str, list[int]]] = (defaultdict(list), defaultdict(list))
+    books = [sorted({b for b, _, _ in own} | {pair[k] for pair in named}) for k, own in enumerate((words, others))]
+    place = [{b: i for i, b in enumerate(own)} for own in books]
+    for k, own in enumerate((words, others)):
+        for b, w, _ in own:
+            held[k][w].append(place[k][b])
+    score = np.zeros((len(books[0]), len(books[1])))
+    norms = [np.zeros(len(own)) for own in books]
+    for w in sorted(held[0].keys() & held[1].keys()):
+        r, e, weight = held[0][w], held[1][w], 2.0 if w.startswith("t:") else 1.0
+        score[np.ix_(r, e)] += weight / (len(r) * len(e))
+        norms[0][r] += weight / len(r) ** 2
+        norms[1][e] += weight / len(e) ** 2
+    for k, own in enumerate((words, others)):
+        for b, w, sure in own:
+            if sure and w not in held[1 - k]:
+                norms[k][place[k][b]] += 1 / len(held[k][w]) ** 2
+    alike = score / np.maximum(np.sqrt(np.outer(*norms)), 1e-12)
+    for r, e in sorted(named):
+        score[place[0][r], place[1][e]] += NAMED
+    # Rounded, so that what is equal but for the order of its sum is equal.
+    score, alike = score.round(9), alike.round(9)
+    best = (score == score.max(axis=1, keepdims=True, initial=0)) & (score == score.max(axis=0, keepdims=True, initial=0))
+    i, j = np.nonzero((best & (score >= 1)) | (alike >= ALIKE))
+    at = [np.linspace(0, 1, len(own)) for own in books]
+    out, taken = [], (set(), set())
+    for k in np.lexsort((j, i, np.abs(at[0][i] - at[1][j]).round(9), -score[i, j])):
+        if i[k] not in taken[0] and j[k] not in taken[1]:
+            out.append((books[0][i[k]], books[1][j[k]]))
+            taken[0].add(i[k])
+            taken[1].add(j[k])
+    return out
+
+
+def _chapters_met(part: pd.DataFrame) -> pd.DataFrame:
+    ru, en, named = (part[part.kind == k] for k in ("ru", "en", "named"))
+    both = _met(*(list(zip(x.a.tolist(), x.anchor, x.b == 1)) for x in (ru, en)), {(int(a), int(b)) for a, b in zip(named.a, named.b)})
+    return pd.DataFrame(both, columns=["book_ru", "book_en"])
+
+
 def chapter_pairs(own: DataFrame, named: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
     """(book_ru, book_en): the chapters of two editions that are the same one.
 
-    They share names and numbers that few chapters of either edition have, and words of their titles (looked up in
-    `words`: r, e). Each must be the other's best. A pair that a relation names (named_pairs) is taken to share NAMED such
-    things to begin with. titles: book_id, title."""
+    They share names and numbers, each counted by how few chapters of either edition have it, and words of their titles
+    (looked up in `words`: r, e). A pair that a relation names (named_pairs) is taken to share NAMED such things to begin
+    with. Chapters that are each other's best pair if they share as much as one thing that only they have; where all they share
+    stands in many chapters, if their weighed sets are ALIKE (cosine, over what both editions hold and what is surely a name). The greatest scores pair first,
+    of equal ones those whose places in their editions are nearest. titles: book_id, title.
+
+    Two editions are one task: a matrix of their chapters."""
     pairs = named.select("ru", "en").distinct()
-    told = F.expr("transform(filter(flatten(transform(sentences, s -> s.words)), w -> w like '@%' or w like '?%' or w like '#__%'), w -> replace(w, '?', '@'))")
-    anchors = own.select("book_id", "edition", "lang", F.explode(F.array_distinct(told)).alias("anchor"))
+    told = F.expr("transform(filter(flatten(transform(sentences, s -> s.words)), w -> w like '@%' or w like '?%' or w like '#__%'), w -> if(w like '?%', named_struct('w', replace(w, '?', '@'), 'sure', 0L), named_struct('w', w, 'sure', 1L)))")
+    anchors = own.select("book_id", "edition", "lang", F.explode(F.array_distinct(told)).alias("x")).select("book_id", "edition", "lang", F.col("x.w").alias("anchor"), "x.sure")
     title = F.pandas_udf(lambda t, g: pd.Series([features(re.sub(r"(?i)^\W*(глава|chapter)\W+[\w-]+\W+|\(.*\)|^[ivxlc\d]+\W+", " ", x or "").lower(), h == "ru") for x, h in zip(t, g)]), "array<string>")
     titled = own.select("book_id", "edition", "lang").join(titles, "book_id")
     heads = titled.select("book_id", "edition", "lang", F.explode(F.array_distinct(title("title", "lang"))).alias("w"))
-    told_ru = heads.where("lang = 'ru'").join(words.toDF("w", "e"), "w").select("book_id", "edition", "lang", F.concat(F.lit("t:"), "e").alias("anchor"))
-    told_en = heads.where("lang = 'en'").select("book_id", "edition", "lang", F.concat(F.lit("t:"), "w").alias("anchor"))
-    every = anchors.unionByName(told_ru).unionByName(told_en).distinct()
-    held = Window.partitionBy("edition", "anchor")
-    telling = every.withColumn("n", F.count(F.lit(1)).over(held)).where(F.col("n") <= ANCHOR_CHAPTERS)
-    ru = telling.where("lang = 'ru'").select(F.col("edition").alias("ru"), "anchor", F.col("book_id").alias("book_ru"), F.col("n").alias("n_ru"))
-    en = telling.where("lang = 'en'").select(F.col("edition").alias("en"), "anchor", F.col("book_id").alias("book_en"), F.col("n").alias("n_en"))
-    scored = (
-        pairs.join(ru, "ru").join(en, ["en", "anchor"])
-        .select("book_ru", "book_en", (F.when(F.col("anchor").startswith("t:"), 2.0).otherwise(1.0) / (F.col("n_ru") * F.col("n_en"))).alias("score"))
-        .unionByName(named.select("book_ru", "book_en", F.lit(NAMED).alias("score")).distinct())
-        .groupBy("book_ru", "book_en")
-        .agg(F.sum("score").alias("score"))
-    )
-    best_ru = Window.partitionBy("book_ru").orderBy(F.desc("score"), "book_en")
-    best_en = Window.partitionBy("book_en").orderBy(F.desc("score"), "book_ru")
-    ranked = scored.withColumn("a", F.row_number().over(best_ru)).withColumn("b", F.row_number().over(best_en))
-    return ranked.where("a = 1 and b = 1 and score >= 1").select("book_ru", "book_en")
+    told_ru = heads.where("lang = 'ru'").join(words.toDF("w", "e"), "w").select("book_id", "edition", "lang", F.concat(F.lit("t:"), "e").alias("anchor"), F.lit(0).cast("long").alias("sure"))
+    told_en = heads.where("lang = 'en'").select("book_id", "edition", "lang", F.concat(F.lit("t:"), "w").alias("anchor"), F.lit(0).cast("long").alias("sure"))
+    every = anchors.unionByName(told_ru).unionByName(told_en).groupBy("book_id", "edition", "lang", "anchor").agg(F.max("sure").alias("sure"))
+    none = F.lit(None)
+    rows = named.select("ru", "en", F.lit("named").alias("kind"), F.col("book_ru").alias("a"), F.col("book_en").alias("b"), none.cast("string").alias("anchor")).distinct()
+    for side in ("ru", "en"):
+        held = every.where(F.col("lang") == side).select(F.col("edition").alias(side), F.col("book_id").alias("a"), "anchor", F.col("sure").alias("b"))
+        rows = rows.unionByName(pairs.join(held, side).select("ru", "en", F.lit(side).alias("kind"), "a", "b", "anchor"))
+    return rows.groupBy("ru", "en").applyInPandas(_chapters_met, "book_ru long, book_en long").distinct()
 
 
 def length_beads(ru: list[int], en: list[int]) -> list[tuple[int, int, float]]:
