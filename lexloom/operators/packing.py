@@ -8,6 +8,7 @@ outcomes are composed along the group (a row per range), and the ranges are then
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -76,34 +77,43 @@ def packs(rows: DataFrame, group: str, order: str, units: str, size: int, over:
                 out.append((int(sums[-1]), [int(sums[s]) for s in starts], fills, counts))
             yield pd.concat([piece[["g", "_range"]].reset_index(drop=True), pd.DataFrame(out, columns=["total", "bounds", "fills", "packs"])], axis=1)
 
-    def composed(part: pd.DataFrame) -> pd.DataFrame:
+    def composed(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """How full the open pack is and how many are closed before each range."""
-        out, fill, done, begun = [], 0, 0, False
-        for g, no, total, bounds, fills, counts in part.sort_values("_range").itertuples(index=False):
-            out.append((g, no, fill, done, begun))
-            sums = np.asarray(bounds)
-            if not begun:
-                k, new = 0, True
-            else:
-                reach = fill + sums
-                full = np.flatnonzero(reach >= size)
-                k = int(full[0]) if len(full) else len(sums) - 1
-                if len(full) and not over:
-                    k = max(0, k - 1)
-                new = bool(len(full))
-                if not new and total:
-                    fill += total
-            if new:
-                fill, done = (int(fills[k]), done + int(counts[k])) if counts[k] else (fill + total, done)
-            begun = True
-        return pd.DataFrame(out, columns=["g", "_range", "fill", "done", "begun"])
+        for piece in pieces:
+            out = []
+            for g, ranges in zip(piece.g, piece.ranges):
+                fill, done, begun = 0, 0, False
+                for x in ranges:
+                    total, fills, counts = x["total"], x["fills"], x["packs"]
+                    out.append((g, x["_range"], fill, done, begun))
+                    sums = np.asarray(x["bounds"])
+                    if not begun:
+                        k, new = 0, True
+                    else:
+                        reach = fill + sums
+                        full = np.flatnonzero(reach >= size)
+                        k = int(full[0]) if len(full) else len(sums) - 1
+                        if len(full) and not over:
+                            k = max(0, k - 1)
+                        new = bool(len(full))
+                        if not new and total:
+                            fill += total
+                    if new:
+                        fill, done = (int(fills[k]), done + int(counts[k])) if counts[k] else (fill + total, done)
+                    begun = True
+            yield pd.DataFrame(out, columns=["g", "_range", "fill", "done", "begun"])
 
     parts = lists.select("g", "_range", F.transform("items", lambda x: x["u"]).alias("units")).mapInPandas(summed, f"g {kinds['g']}, {_SUMMARY}")
-    # A row for each range that a group reaches into.
-    states = parts.groupBy("g").applyInPandas(composed, f"g {kinds['g']}, _range long, fill long, done long, begun boolean")
+    # An item for each range that a group reaches into; many small groups are one batch.
+    ranges = parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("_range", "total", "bounds", "fills", "packs"))).alias("ranges"))
+    states = ranges.mapInPandas(composed, f"g {kinds['g']}, _range long, fill long, done long, begun boolean")
+
+    def joined(held: list[tuple[list, list, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({"g": list(chain.from_iterable(g for g, _, _ in held)), "o": list(chain.from_iterable(o for _, o, _ in held)), "pack": np.concatenate([no for _, _, no in held])})
 
     def numbered(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in pieces:
+            held, rows = [], 0
             for g, items, fill, done, begun in zip(piece.g, piece["items"], piece.fill, piece.done, piece.begun):
                 units_ = np.array([x["u"] for x in items], np.int64)
                 sums = np.concatenate([[0], units_.cumsum()])
@@ -114,7 +124,13 @@ def packs(rows: DataFrame, group: str, order: str, units: str, size: int, over:
                     starts.append(at)
                     at = int(follow[at])
                 no = done - 1 + np.searchsorted(starts, np.arange(len(units_)), "right")
-                yield pd.DataFrame({"g": [g] * len(items), "o": [x["o"] for x in items], "pack": no})
+                held.append(([g] * len(items), [x["o"] for x in items], no))
+                rows += len(items)
+                if rows >= BLOCK:
+                    yield joined(held)
+                    held, rows = [], 0
+            if held:
+                yield joined(held)
 
     held = lists.withColumn("_g", F.struct("g")).join(states.withColumn("_g", F.struct("g")).drop("g"), ["_g", "_range"])
     out = held.select("g", "items", "fill", "done", "begun").mapInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, pack long")

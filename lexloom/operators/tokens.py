@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,29 @@ def tokenize(df: DataFrame, text: str | Column, keys: Sequence[str], language: s
     )
 
 
+def _starts(sizes: pd.Series) -> pd.Series:
+    return pd.Series([np.cumsum([0, *n])[:-1].astype("int64") for n in sizes])
+
+
+def sentence_rows(df: DataFrame, text: str, keys: Sequence[str], dashes: Sequence[str], language: str = "ru") -> DataFrame:
+    """(keys, sentence_id, tokens, is_dialog, start_id, end_id, text): what the token table of each text says of its sentences,
+    straight from the text: no row per token, no shuffle. is_dialog: the first word of its paragraph is one of `dashes`.
+
+    Texts must be there once each, as ids are those of `tokenize`."""
+    pieces = F.transform(X.paragraphs(F.col(text)), lambda p: F.transform(X.sentences(p), lambda s: X.token_pieces(s, language)))
+    lines = df.select(*keys, pieces.alias("_p"))
+    spoken = lambda p: F.coalesce(X.bare(F.get(F.flatten(p), F.lit(0))).isin(*dashes), F.lit(False))
+    own = F.flatten(F.transform("_p", lambda p: F.transform(p, lambda w: F.struct(w.alias("w"), spoken(p).alias("d")))))
+    starts = F.pandas_udf(_starts, "array<long>")(F.transform(F.flatten("_p"), lambda w: F.size(w)))
+    rows = lines.select(*keys, "_p", starts.alias("_s")).where("_p is not null").select(*keys, F.posexplode(F.arrays_zip(own.alias("x"), F.col("_s").alias("s"))).alias("sentence_id", "_x"))
+    w = F.col("_x.x.w")
+    blank = F.rtrim(F.array_join(F.transform(w, lambda t: F.rpad(X.bare(t), F.length(t), F.lit(" "))), ""))
+    return rows.where(F.size(w) > 0).select(
+        *keys, F.col("sentence_id").cast("long").alias("sentence_id"), F.size(w).cast("long").alias("tokens"), F.col("_x.x.d").alias("is_dialog"),
+        F.col("_x.s").alias("start_id"), (F.col("_x.s") + F.size(w) - 1).alias("end_id"), blank.alias("text"),
+    )
+
+
 def from_words(df: DataFrame, words: str, keys: Sequence[str], language: str = "en") -> DataFrame:
     """A token table of a list of words: one sentence, one blank after each."""
     w = F.col("word")

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import alignment, context, features
 from ..operators import relational as R
 from ..operators import tokens as TK
-from ..session import table
+from ..session import cut, spread, table
 from ..sources import formats
 from .registry import query
 
@@ -240,11 +240,9 @@ def retell_pretty(spark, folder):
 @query()
 def fragment_json(spark, folder):
     """Dialogue and narrative fragments of each book as JSON."""
-    books = table(spark, folder, "book", "file_id", "content").distinct()
-    t = TK.tokenize(books, "content", ["file_id"])
-    d = t.join(features.dialog(t), ["file_id", "word_id"])
-    s = d.groupBy("file_id", "sentence_id").agg(F.count(F.lit(1)).alias("tokens"), F.bool_or("is_dialog").alias("is_dialog"), F.min("word_id").alias("start_id"), F.max("word_id").alias("end_id"))
-    s = s.join(TK.sentence_strings(t, ["file_id", "sentence_id"]), ["file_id", "sentence_id"])
+    books = table(spark, folder, "book", "file_id", "content").where("file_id is not null").distinct()
+    # Read by three that follow.
+    s = cut(TK.sentence_rows(spread(books), "content", ["file_id"], features.DASHES))
     return alignment.fragments_json(alignment.fragments(s, "file_id", 500), "file_id", "Retell:")
 
 
