@@ -6,7 +6,7 @@ import hashlib
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, sampling
@@ -27,8 +27,9 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "toc", "file_id", "filename").where("file_id is not null").groupBy("file_id").agg(F.min("filename").alias("filename"))
 
 
-def _tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return TK.clean(table(spark, folder, "src", *TOKENS)).join(_files(spark, folder), "file_id")
+def _tokens(spark: SparkSession, folder: str, where: Column | None = None) -> DataFrame:
+    src = table(spark, folder, "src", *TOKENS)
+    return TK.clean(src.where(where) if where is not None else src).join(_files(spark, folder), "file_id")
 
 
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,8 +147,8 @@ def corpus_mapped(spark, folder):
 def _halves(spark: SparkSession, folder: str) -> tuple[C.Corpus, C.Corpus]:
     """Two corpora: the files whose id begins with a digit up to 7, and the rest."""
     low = F.substring("file_id", 1, 1).between("0", "7")
-    a = _made(spark, folder, "low", lambda own: own.write(_tokens(spark, folder).where(low), mode="overwrite"))
-    b = _made(spark, folder, "high", lambda own: own.write(_tokens(spark, folder).where(~low), mode="overwrite"))
+    a = _made(spark, folder, "low", lambda own: own.write(_tokens(spark, folder, low), mode="overwrite"))
+    b = _made(spark, folder, "high", lambda own: own.write(_tokens(spark, folder, ~low), mode="overwrite"))
     return a, b
 
 

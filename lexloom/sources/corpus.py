@@ -7,6 +7,7 @@ buckets of file_id, so that reading some files skips the rest.
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tokens as TK
 from ..operators.relational import numbered
+from ..session import shuffles_dropped
 
 RELATION = "file_1 string, file_2 string, relation_name string"
 #: Rows of a bucket, and buckets at least; their number is a power of 2, so that it can be told from a file's hash whatever it is.
@@ -167,38 +169,56 @@ class Corpus:
 
     # Writing
 
-    def _write(self, df: DataFrame, part: str, mode: str, buckets: int | None = None) -> None:
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """df, written once beside the corpus as it comes, so that what follows doesn't work it out again; see _unstaged."""
+        path = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        with shuffles_dropped(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _unstaged(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staged")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _write(self, df: DataFrame, part: str, mode: str, buckets: int | None = None, rows: int | None = None) -> None:
         """With buckets: by bucket, each spread by its rows' place over as many tasks as it has shares of BUCKET_ROWS, so that
-        neither a large bucket nor a large file is one task. buckets = 0: as many as the rows ask for."""
+        neither a large bucket nor a large file is one task. buckets = 0: as many as the rows ask for. Rows are sorted, which makes
+        the files smaller. rows: how many there are, if that is known; else df is written once to be counted."""
         if buckets is None:
             return df.write.mode(mode).parquet(f"{self.path}/{part}")
-        rows = df.count()
+        staged = rows is None
+        if staged:
+            df = self._staged(df)
+            rows = df.count()
         while buckets < LEAST_BUCKETS or buckets * BUCKET_ROWS < rows and buckets < MOST_BUCKETS:
             buckets = max(LEAST_BUCKETS, 2 * buckets)
         place = [c for c in ("word_id", "paragraph_id") if c in df.columns][:1]
         salt = F.pmod(F.xxhash64(*place), F.lit(max(1, rows // BUCKET_ROWS))) if place else F.lit(0)
-        spread = df.withColumn("bucket", bucket_name(F.lit(buckets))).repartition("bucket", salt)
-        spread.write.partitionBy("bucket").mode(mode).parquet(f"{self.path}/{part}")
+        spread = df.withColumn("bucket", bucket_name(F.lit(buckets))).repartition("bucket", salt).sortWithinPartitions("bucket", "file_id", *place)
+        with shuffles_dropped(self.spark):
+            spread.write.partitionBy("bucket").mode(mode).option("compression", "zstd").parquet(f"{self.path}/{part}")
+        if staged:
+            self._unstaged()
 
     def write(self, src: DataFrame, tags: DataFrame | None = None, mode: str = "errorifexists", span: int = 10_000, buckets: int = 0, subcorpus: str | None = None) -> None:
         """Writes a token table (file_id, filename and tokens, ids as in each file) with fresh ids and its contents.
 
         mode: overwrite, append or errorifexists. New ids start `span` above the largest so far. tags: file_id, tags map.
         Files without tokens are not written."""
+        if mode == "errorifexists" and self._has("src"):
+            raise FileExistsError(f"{self.path} holds a corpus")
         old = self.toc().agg(F.max("max_id")).first()[0] if mode == "append" and self._has("toc") else None
-        own = TK.reset_ids(src, "file_id")
-        own = TK.global_ids(own, "file_id", span)
-        if old is not None:
-            own = own.withColumns({c: F.col(c) + F.lit(old + span) for c in TK.ID_COLUMNS})
-        own = own.withColumns({c: F.col(c) if c in own.columns else F.lit(None).cast("long") for c in ("original_word_id", "original_sentence_id", "original_paragraph_id")})
-        self._write(own, "src", mode, buckets)
-        written = self.spark.read.parquet(f"{self.path}/src").join(src.select("file_id").distinct(), "file_id", "left_semi")
+        raw = self._staged(src)
+        own = TK.fresh_ids(raw, "file_id", span, 0 if old is None else old + span, self._staged)
+        self._write(own, "src", mode, buckets, raw.count())
+        written = self.spark.read.parquet(f"{self.path}/src").join(raw.select("file_id").distinct(), "file_id", "left_semi")
         toc = toc_of(written)
         toc = toc.join(tags.select("file_id", "tags"), "file_id", "left") if tags is not None else toc.withColumn("tags", F.lit(None).cast("map<string,string>"))
         first = self.toc().count() if old is not None else 0
         toc = numbered(toc.withColumn("subcorpus_name", F.lit(subcorpus).cast("string")), ["max_id", "file_id"], "ordinal")
         toc = toc.withColumn("ordinal", (F.col("ordinal") + first).cast("int"))
         self._write(toc, "toc", mode)
+        self._unstaged()
 
     def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 0) -> None:
         self._write(df, f"frame={name}", mode, buckets)
