@@ -22,6 +22,8 @@ from .relational import dense_rank_in
 TEXT_BLOCK = 4096
 #: Word ids of a record that are ranked in one place.
 WORD_BLOCK = 1 << 16
+#: The block of words without an id, before all others.
+NO_BLOCK = -(1 << 63)
 ID_COLUMNS = ("word_id", "sentence_id", "paragraph_id")
 TOKENS = T.StructType(
     [
@@ -146,21 +148,27 @@ def global_ids(tokens: DataFrame, key: str, span: int = 10_000) -> DataFrame:
     return tokens.join(offsets, key).withColumns({c: F.col(c) + F.col("offset") for c in ID_COLUMNS}).drop("offset")
 
 
+def word_block() -> Column:
+    """The range of word ids that a word is in."""
+    return F.coalesce(F.floor(F.col("word_id") / WORD_BLOCK), F.lit(NO_BLOCK))
+
+
 def fresh_ids(tokens: DataFrame, key: str, span: int, offset: int, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """What reset_ids and then global_ids give, from `offset` on, for a table that is read cheaply (it is read several times).
 
     Sentences and paragraphs are ranked among their distinct values, so that whole rows move twice only: to meet these, and into the
-    ranges of word ids in which words are ranked. kept: may write rows down between the two, so that the files of the first move go."""
+    ranges of word ids in which words are ranked. kept: may write down rows between the two, so that the files of the first move go, and what is read more than once."""
     marks = [key, "sentence_id", "paragraph_id"]
-    ranked = tokens.select(*marks).distinct()
+    # What is read again and again is written down as well.
+    ranked = kept(tokens.select(*marks).distinct())
     for c in marks[1:]:
-        ranked = dense_rank_in(ranked, [key], c, f"_{c}")
+        ranked = kept(dense_rank_in(ranked, [key], c, f"_{c}"))
     ranked = ranked.withColumns({f"_{c}": F.when(F.col(c).isNotNull(), F.col(f"_{c}") - 1) for c in marks[1:]})
-    block = F.floor(F.col("word_id") / WORD_BLOCK)
+    block = word_block()
     # A row for each range of word ids that a record reaches into; null ids rank first.
     sizes = tokens.select(key, block.alias("_block"), "word_id").groupBy(key, "_block").agg((F.count_distinct("word_id") + F.max(F.col("word_id").isNull().cast("int"))).alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(key).orderBy("_block")) - F.col("_size"))
-    last = before.groupBy(key).agg(F.max(F.when(F.col("_block").isNotNull(), F.col("_before") + F.col("_size") - 1)).alias("_w"))
+    before = kept(sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(key).orderBy("_block")) - F.col("_size")))
+    last = before.groupBy(key).agg(F.max(F.when(F.col("_block") != NO_BLOCK, F.col("_before") + F.col("_size") - 1)).alias("_w"))
     last = last.join(ranked.groupBy(key).agg(F.max("_sentence_id").alias("_s"), F.max("_paragraph_id").alias("_p")), key)
     room = last.select(key, (F.greatest("_w", "_s", "_p") + 2 + span).alias("room")).withColumn("range", F.pmod(F.xxhash64(key), F.lit(4096)))
     ranges = room.groupBy("range").agg(F.sum("room").alias("sum"))
@@ -172,7 +180,8 @@ def fresh_ids(tokens: DataFrame, key: str, span: int, offset: int, kept: Callabl
     same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col("a.sentence_id").eqNullSafe(F.col("b.sentence_id")) & F.col("a.paragraph_id").eqNullSafe(F.col("b.paragraph_id"))
     rows = tokens.alias("a").join(new.alias("b"), same).select("a.*", "b._sentence_id", "b._paragraph_id", "b._offset").withColumn("_block", block)
     rows = kept(rows).withColumn("_rank", F.dense_rank().over(Window.partitionBy(key, "_block").orderBy("word_id")))
-    met = (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col("a._block").eqNullSafe(F.col("b._block"))
+    # By the same columns as the window: rows don't move again.
+    met = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._block") == F.col("b._block"))
     rows = rows.alias("a").join(before.alias("b"), met).select("a.*", "b._before")
     word = F.when(F.col("word_id").isNotNull(), F.col("_rank") + F.col("_before") - 1 + F.col("_offset"))
     out = rows.withColumns(

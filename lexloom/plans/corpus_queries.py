@@ -28,13 +28,20 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, folder: str, where: Column | None = None) -> DataFrame:
+    """The tokens of the files of the table of contents, each once. Rows move once, into ranges of word ids inside files: filenames meet
+    them there, and repeated rows (word_id is the key) one another."""
     src = table(spark, folder, "src", *TOKENS)
-    return TK.clean(src.where(where) if where is not None else src).join(_files(spark, folder), "file_id")
+    src = (src.where(where) if where is not None else src).withColumn("_block", TK.word_block())
+    names = src.select("file_id", "_block").distinct().join(_files(spark, folder), "file_id")
+    # Before the first one stands what is no word's id.
+    before = F.lag("word_id", 1, TK.NO_BLOCK).over(TK.Window.partitionBy("file_id", "_block").orderBy("word_id"))
+    return src.join(names, ["file_id", "_block"]).withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("word_id"))).drop("_block", "_before")
 
 
-def _forms(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "pymorphy", "word_id", "normal_form", "pos").groupBy("word_id").agg(F.min("normal_form").alias("normal_form"), F.min("pos").alias("pos"))
-    return own.join(_tokens(spark, folder).select("file_id", "word_id"), "word_id")
+def _forms(spark: SparkSession, folder: str, own: C.Corpus) -> DataFrame:
+    """Morphology of the words that a corpus holds."""
+    forms = table(spark, folder, "pymorphy", "word_id", "normal_form", "pos").groupBy("word_id").agg(F.min("normal_form").alias("normal_form"), F.min("pos").alias("pos"))
+    return forms.join(own.src().select("file_id", F.col("original_word_id").alias("word_id")), "word_id")
 
 
 def _at(spark: SparkSession, folder: str, name: str) -> C.Corpus:
@@ -56,7 +63,7 @@ def _whole(spark: SparkSession, folder: str) -> C.Corpus:
     def make(own: C.Corpus) -> None:
         tags = table(spark, folder, "toc", "file_id", "tags").where("file_id is not null").groupBy("file_id").agg(F.min_by("tags", F.coalesce(F.col("tags")["author_url"], F.lit("~"))).alias("tags"))
         own.write(_tokens(spark, folder), tags, "overwrite")
-        own.write_frame("forms", _forms(spark, folder))
+        own.write_frame("forms", _forms(spark, folder, own), rows=table(spark, folder, "pymorphy", "word_id").count())
         relation = table(spark, folder, "relation", "file_1", "file_2", "relation_name").distinct()
         relation.limit(0).write.mode("overwrite").parquet(f"{own.path}/relation")
         own.add_relation(relation)
@@ -237,16 +244,21 @@ select 'src' as part, file_id, count(*) as rows from t group by file_id union al
 def corpus_zip(spark, folder):
     """A corpus as a zip archive, read again."""
     own = _whole(spark, folder)
-    target = f"{shared_folder(spark)}/corpora-{hashlib.md5(folder.encode()).hexdigest()[:8]}/zip"
-    with tempfile.TemporaryDirectory() as local:
-        made = os.path.join(local, "whole.zip")
-        C.write_zip(own, made)
-        # The archive goes to the shared folder, where all executors can read it.
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        path(target).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, path("file://" + made), path(f"{target}.zip"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{own.path.rpartition('/')[0]}/zip.zip")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, False)
+    # Written straight to the shared folder, where all executors can read it, if that is on this machine; else brought there.
+    if fs.getScheme() == "file":
+        C.write_zip(own, target.toUri().getPath())
+    else:
+        with tempfile.TemporaryDirectory() as local:
+            made = os.path.join(local, "whole.zip")
+            C.write_zip(own, made)
+            fs.copyFromLocalFile(True, True, path("file://" + made), target)
     out = None
-    for part in ("src", "forms"):
-        rows = C.read_zip(spark, f"{target}.zip", part).groupBy("file_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(part))
+    for part, df in (("src", own.src()), ("forms", own.frame("forms"))):
+        rows = C.read_zip(spark, target.toString(), part, df.drop("bucket").schema).groupBy("file_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(part))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -7,14 +7,25 @@ buckets of file_id, so that reading some files skips the rest.
 from __future__ import annotations
 
 import io
+import itertools
+import shutil
+import struct
+import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import tokens as TK
 from ..operators.relational import numbered
@@ -50,11 +61,12 @@ def bucket_name(count: Column | str) -> Column:
     return F.concat(n.cast("string"), F.lit("-"), F.pmod(F.xxhash64("file_id"), n).cast("string"))
 
 
-def toc_of(src: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """One row per file of a token table (file_id, filename): counts, part_index within the filename, ordinal, max_id."""
+def toc_of(src: DataFrame, timestamp: Column | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row per file of a token table (file_id, filename), or of its `files` only: counts, part_index within the filename, ordinal, max_id."""
     stats = src.groupBy("file_id", "filename").agg(
         F.count(F.lit(1)).alias("token_count"), F.sum("word_length").cast("long").alias("character_count"), (F.greatest(*[F.max(c) for c in TK.ID_COLUMNS]) + 2).alias("max_id"), F.min("word_id").alias("_at")
     )
+    stats = stats.join(files, "file_id", "left_semi") if files is not None else stats
     part = (F.row_number().over(Window.partitionBy("filename").orderBy("_at", "file_id")) - 1).cast("int")
     return stats.select("file_id", "filename", (timestamp if timestamp is not None else F.current_timestamp()).alias("written_at"), part.alias("part_index"), "token_count", "character_count", "max_id")
 
@@ -211,8 +223,7 @@ class Corpus:
         raw = self._staged(src)
         own = TK.fresh_ids(raw, "file_id", span, 0 if old is None else old + span, self._staged)
         self._write(own, "src", mode, buckets, raw.count())
-        written = self.spark.read.parquet(f"{self.path}/src").join(raw.select("file_id").distinct(), "file_id", "left_semi")
-        toc = toc_of(written)
+        toc = toc_of(self.spark.read.parquet(f"{self.path}/src"), files=raw.select("file_id").distinct() if mode == "append" else None)
         toc = toc.join(tags.select("file_id", "tags"), "file_id", "left") if tags is not None else toc.withColumn("tags", F.lit(None).cast("map<string,string>"))
         first = self.toc().count() if old is not None else 0
         toc = numbered(toc.withColumn("subcorpus_name", F.lit(subcorpus).cast("string")), ["max_id", "file_id"], "ordinal")
@@ -220,8 +231,9 @@ class Corpus:
         self._write(toc, "toc", mode)
         self._unstaged()
 
-    def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 0) -> None:
-        self._write(df, f"frame={name}", mode, buckets)
+    def write_frame(self, name: str, df: DataFrame, mode: str = "overwrite", buckets: int = 0, rows: int | None = None) -> None:
+        """rows: how many there are, or at most, if that is known; else df is written once to be counted."""
+        self._write(df, f"frame={name}", mode, buckets, rows)
 
     def replace_toc(self, toc: DataFrame) -> None:
         """Writes another table of contents; it may be made from the present one."""
@@ -313,55 +325,236 @@ def transfused(sources: Sequence[Corpus], select: Callable[[DataFrame], DataFram
 
 # Zip exchange
 
+#: Bytes of an archive that a reading task gets at least, those of a member that stay in memory, and rows that are decoded at once.
+ZIP_SHARE, ZIP_MEMORY, ZIP_ROWS = 4 << 20, 32 << 20, 1 << 14
+#: Rows of a row group of a member.
+ZIP_GROUP = 1 << 17
 
-def read_zip(spark: SparkSession, paths: str, part: str = "src") -> DataFrame:
-    """The frames `part` of zipped corpora (members <part>/<uid>, or <part>.parquet) as one DataFrame of file_id and the
-    rows as JSON text; one archive per task, members one by one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for path, content in zip(pdf.path, pdf.content):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.startswith(f"{part}/") or name == f"{part}.parquet":
-                            df = pd.read_parquet(io.BytesIO(z.read(name))).reset_index()
-                            rows = [r for r in df.to_json(orient="records", lines=True, force_ascii=False, date_format="iso").split("\n") if r]
-                            uid = name.partition("/")[2].rpartition(".")[0] or name.partition("/")[2]
-                            yield pd.DataFrame({"corpus_id": path.rpartition("/")[2], "file_id": uid, "row": rows})
+def _ranged(path: str, mode: str = "rb"):
+    """A file that can be read from any place, or a new one; on this machine's folders or any file system that Arrow knows."""
+    if path.startswith(("/", "file:")):
+        return open("/" + path.removeprefix("file:").lstrip("/"), mode)
+    fs, own = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(own) if mode == "rb" else fs.open_output_stream(own)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "corpus_id string, file_id string, row string")
 
+def _reachable(path: str) -> bool:
+    """Whether _ranged can open what lies on the file system of a path."""
+    if path.startswith(("/", "file:")):
+        return True
+    try:
+        return bool(pafs.FileSystem.from_uri(path))
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def _member(f, info: dict) -> tempfile.SpooledTemporaryFile:
+    """The content of a member, by its entry in the directory; an error if its checksum differs."""
+    out = tempfile.SpooledTemporaryFile(ZIP_MEMORY)
+    if info["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or info["flags"] & 1:
+        with zipfile.ZipFile(f) as z, z.open(info["name"]) as m:
+            shutil.copyfileobj(m, out)
+    else:
+        f.seek(info["at"])
+        head = f.read(30)
+        f.seek(info["at"] + 30 + sum(struct.unpack("<HH", head[26:30])))
+        d = zlib.decompressobj(-15) if info["method"] == zipfile.ZIP_DEFLATED else None
+        left, crc = info["packed"], 0
+        while left:
+            b = f.read(min(left, 1 << 20))
+            if not b:
+                raise zipfile.BadZipFile(f"{info['name']} is cut off")
+            left -= len(b)
+            b = d.decompress(b) if d else b
+            crc = zlib.crc32(b, crc)
+            out.write(b)
+        rest = d.flush() if d else b""
+        out.write(rest)
+        if head[:4] != b"PK\3\4" or zlib.crc32(rest, crc) != info["crc"]:
+            raise zipfile.BadZipFile(f"{info['name']} is damaged")
+    out.seek(0)
+    return out
+
+
+def _as_json(t: pa.Table, before: int) -> pa.Array:
+    """Rows as JSON, with the index of a pandas frame if it was one; before: rows of the frame before these."""
+    df = t.to_pandas(integer_object_nulls=True)
+    if isinstance(df.index, pd.RangeIndex):
+        df.index = pd.RangeIndex(before, before + len(df))
+    text = df.reset_index().to_json(orient="records", lines=True, force_ascii=False, date_format="iso")
+    return pa.array([r for r in text.split("\n") if r], pa.string())
 
-def write_zip(corpus: Corpus, path: str) -> None:
-    """A zip archive of a corpus for exchange: toc.parquet, relations.parquet and mapping.parquet if there are any, and for
-    each file src/<file_id>.parquet and <frame>/<file_id>.parquet.
 
-    The members are made by the executors, a file each; the driver only appends them to the archive, one at a time."""
+def _directory(f, part: str) -> list[dict]:
+    with zipfile.ZipFile(f) as z:
+        own = [i for i in z.infolist() if i.filename.startswith(f"{part}/") or i.filename == f"{part}.parquet"]
+    return [{"name": i.filename, "at": i.header_offset, "packed": i.compress_size, "method": i.compress_type, "flags": i.flag_bits, "crc": i.CRC} for i in own]
 
-    def member(folder: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            b = io.BytesIO()
-            part.to_parquet(b)
-            return pd.DataFrame({"name": [f"{folder}/{part.file_id.iloc[0]}.parquet"], "content": [b.getvalue()]})
+
+def read_zip(spark: SparkSession, paths: str, part: str = "src", schema: StructType | None = None) -> DataFrame:
+    """The frames `part` of zipped corpora (members <part>/<uid>, or <part>.parquet) as one DataFrame of corpus_id, file_id and the
+    rows: as JSON text, or, if a schema is given, its columns.
+
+    Members are dealt out to tasks by their bytes, however few archives there are; a member is one task, which decodes it some
+    rows at a time. Only where Arrow can't read a file system in places, each archive goes through one task's memory."""
+    columns = [c for c in schema if c.name not in ("corpus_id", "file_id")] if schema is not None else [StructField("row", StringType())]
+    own = StructType([StructField("corpus_id", StringType()), StructField("file_id", StringType()), *columns])
+    arrow = to_arrow_schema(own)
+
+    def rows(f, path: str, info: dict) -> Iterator[pa.RecordBatch]:
+        name, before = info["name"], 0
+        uid = name.partition("/")[2].rpartition(".")[0] or name.partition("/")[2]
+        with _member(f, info) as m:
+            p = pq.ParquetFile(m)
+            for b in p.iter_batches(ZIP_ROWS):
+                t = pa.Table.from_batches([b], p.schema_arrow)
+                got = [t[c.name].combine_chunks().cast(arrow.field(c.name).type) for c in columns] if schema is not None else [_as_json(t, before)]
+                before += len(b)
+                yield pa.RecordBatch.from_arrays([pa.repeat(path.rpartition("/")[2], len(b)), pa.repeat(uid, len(b)), *got], schema=arrow)
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for path in pdf.path:
+                with _ranged(path) as f:
+                    out = pd.DataFrame(_directory(f, part), columns=["name", "at", "packed", "method", "flags", "crc"])
+                yield out.assign(path=path, share=out["packed"].cumsum() // ZIP_SHARE)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, f = None, None
+        for b in batches:
+            for info in b.to_pylist():
+                if info["path"] != path:
+                    if f:
+                        f.close()
+                    path = info["path"]
+                    f = _ranged(path)
+                yield from rows(f, path, info)
+        if f:
+            f.close()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                f = io.BytesIO(r["content"])
+                for info in _directory(f, part):
+                    yield from rows(io.BytesIO(r["content"]), r["path"], info)
+
+    files = spark.read.format("binaryFile").load(paths)
+    sizes = files.select("path", "length").collect()
+    if not all(_reachable(r.path) for r in sizes):
+        return files.select("path", "content").mapInArrow(whole, own)
+    tasks = max(1, min(sum(r.length for r in sizes) // ZIP_SHARE, 1 << 15))
+    members = files.select("path").mapInPandas(listed, "path string, name string, at long, packed long, method int, flags int, crc long, share long")
+    return members.repartition(tasks, "path", "share").sortWithinPartitions("path", "at").mapInArrow(some, own)
+
+
+def write_zip(corpus: Corpus, path: str) -> None:
+    """A zip archive of a corpus for exchange, in a file of the driver's: toc.parquet, relations.parquet and mapping.parquet if there
+    are any, and for each file src/<file_id>.parquet and <frame>/<file_id>.parquet.
+
+    Each task writes the members of its files to an archive of its own beside the corpus, some rows at a time; the driver appends their
+    bytes as they are and notes where they are now. Only where Arrow can't write to the corpus' file system they come with the rows."""
+    hadoop = corpus.spark._jvm.org.apache.hadoop.fs.Path(f"{corpus.path}/_zip_{uuid.uuid4().hex}")
+    fs = hadoop.getFileSystem(corpus.spark._jsc.hadoopConfiguration())
+    beside = fs.makeQualified(hadoop).toString()
+    reachable = _reachable(beside)
+
+    def packer(folder: str, constants: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with tempfile.SpooledTemporaryFile(ZIP_MEMORY) as f:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for uid, rows in itertools.groupby(_runs(batches), lambda x: x[0]):
+                        _put(z, f"{folder}/{uid}.parquet", (b for _, b in rows), constants)
+                    some = bool(z.namelist())
+                if not some:
+                    return
+                f.seek(0)
+                target = f"{beside}/{uuid.uuid4().hex}"
+                if reachable:
+                    with _ranged(target, "wb") as out:
+                        shutil.copyfileobj(f, out, 1 << 20)
+                yield pa.RecordBatch.from_pydict({"path": [target], "content": [None if reachable else f.read()]}, pa.schema({"path": pa.string(), "content": pa.binary()}))
 
         return run
 
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-
-        def put(name: str, df: DataFrame) -> None:
-            b = io.BytesIO()
-            df.toPandas().to_parquet(b)
-            z.writestr(name, b.getvalue())
-
-        put("toc.parquet", corpus.toc())
-        if corpus._has("relation"):
-            put("relations.parquet", corpus.relations())
-        if any(n.startswith("mapping") for n in corpus._parts()):
-            put("mapping.parquet", corpus.mapping())
-        for folder, df in [("src", corpus.src()), *((n, corpus.frame(n)) for n in corpus.frame_names())]:
-            made = df.drop("bucket").groupBy("file_id").applyInPandas(member(folder), "name string, content binary")
-            for r in made.toLocalIterator():
-                z.writestr(r.name, r.content)
+    fs.mkdirs(hadoop)
+    try:
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+
+            def put(name: str, df: DataFrame) -> None:
+                b = io.BytesIO()
+                df.toPandas().to_parquet(b)
+                z.writestr(name, b.getvalue())
+
+            put("toc.parquet", corpus.toc())
+            if corpus._has("relation"):
+                put("relations.parquet", corpus.relations())
+            if any(n.startswith("mapping") for n in corpus._parts()):
+                put("mapping.parquet", corpus.mapping())
+            for folder, df in [("src", corpus.src()), *((n, corpus.frame(n)) for n in corpus.frame_names())]:
+                own = {"corpus_id": corpus.name} if folder == "src" else {}
+                place = [c for c in ("word_id", "paragraph_id") if c in df.columns][:1]
+                sorted_ = df.drop("bucket", *own).repartition("file_id").sortWithinPartitions("file_id", *place)
+                with shuffles_dropped(corpus.spark):
+                    made = sorted_.mapInArrow(packer(folder, own), "path string, content binary")
+                    for r in made.collect() if reachable else made.toLocalIterator():
+                        with _ranged(r.path) if reachable else io.BytesIO(r.content) as f:
+                            _append(z, f)
+                        if reachable:
+                            fs.delete(corpus.spark._jvm.org.apache.hadoop.fs.Path(r.path), False)
+    finally:
+        fs.delete(hadoop, True)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Rows that are sorted by file_id, cut where it changes."""
+    for b in batches:
+        if len(b):
+            runs = pc.run_end_encode(b.column("file_id"))
+            at = 0
+            for uid, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                yield uid, b.slice(at, end - at)
+                at = end
+
+
+def _put(z: zipfile.ZipFile, name: str, batches: Iterator[pa.RecordBatch], constants: dict[str, str]) -> None:
+    """A member that holds the rows, written in groups."""
+
+    def group(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        for c, value in constants.items():
+            t = t.append_column(c, pa.repeat(value, len(t)))
+        return t
+
+    with z.open(name, "w", force_zip64=True) as m:
+        writer, held, n = None, [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                n += len(b)
+            if held and (b is None or n >= ZIP_GROUP):
+                t = group(held)
+                writer = writer or pq.ParquetWriter(m, t.schema, compression="zstd")
+                writer.write_table(t)
+                held, n = [], 0
+        writer.close()
+
+
+def _append(z: zipfile.ZipFile, f) -> None:
+    """Appends the members of an archive to one that is being written, as the bytes they are."""
+    with zipfile.ZipFile(f) as other:
+        own, left = other.infolist(), other.start_dir
+    f.seek(0)
+    z.fp.seek(z.start_dir)
+    while left:
+        b = f.read(min(left, 1 << 20))
+        left -= z.fp.write(b)
+    for i in own:
+        i.header_offset += z.start_dir
+        z.NameToInfo[i.filename] = i
+    z.filelist.extend(own)
+    z.start_dir = z.fp.tell()
 
 
 # From texts to bundles

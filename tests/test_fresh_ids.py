@@ -27,3 +27,27 @@ def test_a_source_is_read_once_and_nothing_is_left_beside_the_corpus(spark, tmp_
     c = corpus.Corpus(spark, str(tmp_path / "c"))
     c.write(src)
     assert n.value == 4 and c._parts() == ["src", "toc"] and c.toc().count() == 2
+
+
+def test_rows_move_once_for_ranks_and_offsets(spark):
+    """Words without an id stand in a block of their own, so that the window and the join after it are laid out alike."""
+    rows = [("a", w, s, 0) for w, s in ((None, 1), (5, 1), (TK.WORD_BLOCK + 1, 2), (TK.WORD_BLOCK + 1, 2))] + [("b", 3, None, 4)]
+    df = spark.createDataFrame(rows, "file_id string, word_id long, sentence_id long, paragraph_id long")
+    kept = []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def keep(x):
+        kept.append(x)
+        return spark.createDataFrame(x.collect(), x.schema)
+
+    try:
+        got = {(r.file_id, r.original_word_id, r.word_id, r.sentence_id) for r in TK.fresh_ids(df, "file_id", 10, 0, keep).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    a, b = ({x for x in got if x[0] == f} for f in "ab")
+    base = min(x[3] for x in a)
+    assert {(o, w is not None and w - base, s - base) for _, o, w, s in a} == {(None, False, 0), (5, 1, 0), (TK.WORD_BLOCK + 1, 2, 1)}
+    assert len(b) == 1 and {x[3] for x in b} == {None}
+    plan = kept[-1]._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "isnull(_block" in line]
